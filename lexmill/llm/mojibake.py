@@ -218,15 +218,20 @@ class Restorer:
             least = min(least, len(self.packers["ru"].compress(raw)))
         return least + ESCAPE * self.odd(text)
 
-    def candidates(self, text: str) -> Iterator[tuple[str, str, float]]:
-        """One step back: (text, step, cost)."""
-        low, strange, stretch = text == text.lower(), {c for c in text if c > "\x7f"}, self.odd_stretch(text)
-        if stretch:
-            strange = {c for c in text[stretch[0] : stretch[1]] if c > "\x7f"}
+    def utf8_steps(self, text: str) -> Iterator[tuple[str, str, float]]:
+        """Texts before one misreading of UTF-8: (text, step, cost)."""
+        low = text == text.lower()
         for c in CHARSETS:
             yield undo_utf8(text, c), f"utf-8 as {c}", STEP_COST["utf8"]
             if low and c in ("cp1252", "latin-1", "cp1251", "cp1250", "mac-roman"):
                 yield undo_lowered(text, c), f"utf-8 as {c}, lower-cased", STEP_COST["lower"]
+
+    def swap_steps(self, text: str) -> Iterator[tuple[str, str, float]]:
+        """Texts before one one-byte charset was read as another, as a whole or in the odd stretch only."""
+        stretch = self.odd_stretch(text)
+        part = text[stretch[0] : stretch[1]] if stretch else text
+        strange = {c for c in part if c > "\x7f"}
+        for c in CHARSETS:
             if not strange <= characters(c):
                 continue
             for real in CHARSETS:
@@ -234,7 +239,7 @@ class Restorer:
                     swap = swap_table(c, real)
                     yield text.translate(swap), f"{real} as {c}", STEP_COST["swap"]
                     if stretch:
-                        yield text[: stretch[0]] + text[stretch[0] : stretch[1]].translate(swap) + text[stretch[1] :], f"{real} as {c}", STEP_COST["swap"]
+                        yield text[: stretch[0]] + part.translate(swap) + text[stretch[1] :], f"{real} as {c}", STEP_COST["swap"]
 
     def sentence(self, text: str, lang: str) -> tuple[str, str]:
         """Restored sentence and its chain ("" if left unchanged)."""
@@ -244,21 +249,24 @@ class Restorer:
         best, chain, cost = text, "", self.length(text, lang)
         front, seen = [(text, "", 0.0)], {text}
         for _ in range(MAX_STEPS):
-            fresh = {}
-            for t, path, paid in front:
-                for c, step, price in self.candidates(t):
-                    if c not in seen and "￿" not in c:
-                        seen.add(c)
-                        fresh[c] = (c, f"{path} < {step}" if path else step, paid + price)
-            short = sorted(fresh.values(), key=lambda x: (self.odd(x[0]), len(x[0]), x[2]))[:SHORTLIST]
-            better = False
-            for c, path, paid in short:
-                n = self.length(c, lang) + paid
-                if n < cost:
-                    best, chain, cost, better = c, path, n, True
+            better, kept = False, []
+            for steps in (self.utf8_steps, self.swap_steps):
+                fresh = []
+                for t, path, paid in front:
+                    for c, step, price in steps(t):
+                        if c not in seen and "￿" not in c:
+                            seen.add(c)
+                            fresh.append((self.odd(c), len(c), paid + price, c, f"{path} < {step}" if path else step))
+                kept += sorted(fresh)[:SHORTLIST]
+                for _, _, paid, c, path in sorted(fresh)[:SHORTLIST]:
+                    n = self.length(c, lang) + paid
+                    if n < cost:
+                        best, chain, cost, better = c, path, n, True
+                if better and not self.odd(best):  # nothing unusual is left that another step could mend
+                    break
             if not better or not self.odd(best):
                 break
-            front = short[:2]
+            front = [(c, path, paid) for _, _, paid, c, path in sorted(kept)[:2]]
         if len(self.memo) > 50_000:
             self.memo.clear()
         self.memo[text, lang] = best, chain
@@ -291,8 +299,13 @@ class Restorer:
 
 
 def sample_texts(records: DataFrame, size: int = SAMPLE) -> list[str]:
-    """``size`` texts, those of least key hash: the bounded sample the model is fitted on."""
-    return [r.t for r in records.filter(F.col("text").isNotNull()).select(F.xxhash64("origin", "rec_key").alias("h"), F.col("text").alias("t")).orderBy("h").limit(size).collect()]
+    """About ``size`` texts picked by key hash: the bounded sample the model is fitted on.
+
+    The share is set from the number of records, so each task sends its share only.
+    """
+    share = min(1.0, size / max(records.count(), 1))
+    picked = records.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("origin", "rec_key"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return sorted(r.text for r in picked.select("text").limit(2 * size).collect())
 
 
 RESTORED = "origin string, rec_key string, restored string, chain string, lost boolean"
