@@ -43,8 +43,9 @@ def p3_group_counts(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "run_items")
     records = materialise(item_records(rows), "p3-items")
     last = rows.filter("run_id is not null and item_key is not null").groupBy("run_id", "item_key").agg(F.max("loaded_at").alias("at"))
-    mid = rows.agg(((F.min(F.unix_micros(F.col("loaded_at").cast("timestamp"))) + F.max(F.unix_micros(F.col("loaded_at").cast("timestamp")))) / 2).alias("m"))
-    early = last.crossJoin(F.broadcast(mid)).select(F.col("run_id").alias("scope_id"), F.col("item_key").alias("copy_key"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")) <= F.col("m"), F.lit(True)).alias("early"))  # one row on the right
+    at = F.unix_micros(F.col("loaded_at").cast("timestamp"))
+    middle = rows.agg(((F.min(at) + F.max(at)) / 2).alias("m")).first().m or 0.0
+    early = last.select(F.col("run_id").alias("scope_id"), F.col("item_key").alias("copy_key"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")) <= middle, F.lit(True)).alias("early"))
     dated = materialise(records.join(early, ["scope_id", "copy_key"]), "p3-dated")
     ledger = Ledger(spark)
     ledger.update(dated.filter("early"))
