@@ -52,7 +52,7 @@ def differences(spark, con, root, query, sql):
 
 if __name__ == "__main__":
     sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-    from conftest import make_session
+    from tests.conftest import make_session
 
     import __spark_entry__ as entry
 
