@@ -109,7 +109,7 @@ def _js(k):
     return f"nullif(trim(json_extract_string(fields_json, '$.{k}')), '')"
 
 
-_ENT = "list_concat(list_concat(regexp_extract_all(t, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b'), list_filter(regexp_extract_all(t, '\\b[A-Za-z]\\w*(?:-\\w+){1,5}\\b'), lambda e: regexp_matches(e, '\\d'))), regexp_extract_all(t, '\\b\\d{4}-\\d{2}-\\d{2}\\b|\\b\\d{2}\\.\\d{2}\\.\\d{4}\\b'))"
+_ENT = "list_concat(list_concat(regexp_extract_all(t, '\\b[\\w.+-]+@[\\w-]+\\.[\\w.-]+\\b'), list_filter(regexp_extract_all(t, '(?:^|[^\\pL\\pN_])([A-Za-z]\\w*(?:-\\w+){1,5})', 1), lambda e: regexp_matches(e, '\\d'))), regexp_extract_all(t, '\\b\\d{4}-\\d{2}-\\d{2}\\b|\\b\\d{2}\\.\\d{2}\\.\\d{4}\\b'))"
 _FAC = _F + f""", ft AS (SELECT *, explanation || ' ' || coalesce(fields_json, '') AS t FROM fnd),
 fac AS (SELECT finding_id, job_id, result_id, pos, lower(coalesce({_js('item')}, {_js('name')}, {_js('title')}, left(explanation, 80))) AS item,
   lower(coalesce({_js('category')}, nullif(finding_type, ''), '')) AS category, severity AS level, file AS source, coalesce({_js('value')}, {_js('amount')}, {_js('count')}, '') AS value,
