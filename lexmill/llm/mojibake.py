@@ -134,6 +134,22 @@ def undo_lowered(text: str, charset: str) -> str:
     return pattern.sub(lambda m: seen[m[0]], text)
 
 
+CYRILLIC = frozenset(map(chr, range(0x430, 0x450)))
+MIXED = re.compile("[а-яё](?:[A-Za-z]|[А-ЯЁ]{3})|[a-z][а-яё]")
+def undo_chain(text: str, chain: str) -> tuple[str, float]:
+    """Text before the misreadings of a chain, undone from the last one on, and the chain's cost."""
+    cost = 0.0
+    for step in chain.split(" < "):
+        really, _, seen = step.partition(" as ")
+        if seen.endswith(", lower-cased"):
+            text, cost = undo_lowered(text, seen.removesuffix(", lower-cased")), cost + STEP_COST["lower"]
+        elif really == "utf-8":
+            text, cost = undo_utf8(text, seen), cost + STEP_COST["utf8"]
+        else:
+            text, cost = text.translate(swap_table(seen, really)), cost + STEP_COST["swap"]
+    return text, cost
+
+
 LOST = re.compile(r"�|(?<![\w/=&.])[^\W\d_]{1,30}\?[^\W\d_]{1,30}(?![\w/=&])|(?:(?<=\s)|^)\?(?=[^\W\d_])|[,;]\?(?=\s|$)|(?<![\w?!.…»”\"'’)\]])\?{2,}(?=\s|$)")
 BARE_LEAD = re.compile("[âÐÑÃÂ](?=[^\\W\\d_])")
 SENTENCE = re.compile(r"(\n|(?<=[.!?…;])[\"”»“’')\]]*\s+)")
@@ -164,6 +180,7 @@ class Model:
 
     dictionaries: dict[str, bytes]
     usual: frozenset[tuple[str, str]]
+    common: frozenset[str] = frozenset()
 
 
 def fit(texts: Iterable[str]) -> Model:
@@ -183,13 +200,16 @@ def fit(texts: Iterable[str]) -> Model:
         except zstandard.ZstdError:  # too little text: its own end is the dictionary
             dictionaries[lang] = b"".join(pieces)[-DICT_BYTES:]
     usual |= {p for p, n in pooled.items() if n >= max(3, 0.002 * sum(map(len, by.values())))}
-    return Model(dictionaries, frozenset(usual))
+    count = Counter(c for sample in by.values() for t in sample for c in set(t))
+    common = frozenset(c for c, n in count.items() if n >= 0.02 * sum(map(len, by.values())))
+    return Model(dictionaries, frozenset(usual), common)
 
 
 class Restorer:
     """Chooses decodings of least description length under a model."""
 
     def __init__(self, model: Model):
+        self.common = model.common
         self.usual = model.usual | {(chr(a), chr(b)) for a in range(128) for b in range(128)}
         self.packers = {}
         for lang, raw in model.dictionaries.items():
@@ -198,6 +218,11 @@ class Restorer:
             self.packers[lang] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.memo: dict[tuple[str, str], tuple[str, str]] = {}
 
+    def suspect(self, text: str) -> bool:
+        """Quick look for callers that restore only to read better: rare characters, mixed scripts or turned case."""
+        chars = set(text)
+        return not chars <= self.common or (not chars.isdisjoint(CYRILLIC) and MIXED.search(text) is not None)
+
     def odd(self, text: str) -> int:
         """Unusual pairs of neighbouring characters, ASCII pairs aside."""
         return max(len(text) - 1, 0) - sum(map(self.usual.__contains__, zip(text, text[1:], strict=False)))
@@ -272,6 +297,14 @@ class Restorer:
         self.memo[text, lang] = best, chain
         return best, chain
 
+    def as_before(self, text: str, lang: str, chains: list[str]) -> tuple[str, str] | None:
+        """The text restored by a chain of its neighbours, if that leaves nothing odd and pays."""
+        for chain in dict.fromkeys(chains):
+            c, paid = undo_chain(text, chain)
+            if c != text and not self.odd(c) and self.length(c, lang) + paid < self.length(text, lang):
+                return c, chain
+        return None
+
     def text(self, text: str | None) -> tuple[str | None, str, bool]:
         """Restored text, the chains used, and whether characters are lost for good."""
         if not text:
@@ -283,11 +316,11 @@ class Restorer:
         if not odd and not (lost_sign and LOST.search(text)):
             return text, "", False
         lang, out, chains, lost = language(text), [], [], False
-        odd_pairs = {a + b for a, b in odd}
+        strange = lambda t: not odd.isdisjoint(zip(t, t[1:], strict=False))
         for piece in SENTENCE.split(text):
-            core = without_mentions(piece) if any(p in piece for p in odd_pairs) or lost_sign else piece
-            if any(p in core for p in odd_pairs):
-                fixed, chain = self.sentence(core, lang)
+            core = without_mentions(piece) if lost_sign or strange(piece) else piece
+            if strange(core):
+                fixed, chain = self.as_before(core, lang, chains) or self.sentence(core, lang)
                 if chain and core is not piece:
                     fixed, chain = self.sentence(piece, lang)
                 if chain:
