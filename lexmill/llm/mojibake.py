@@ -238,10 +238,8 @@ class Restorer:
 
     def length(self, text: str, lang: str) -> float:
         raw = text.encode("utf-8", "replace")
-        least = len(self.packers[lang].compress(raw))
-        if lang != "ru" and not text.isascii():
-            least = min(least, len(self.packers["ru"].compress(raw)))
-        return least + ESCAPE * self.odd(text)
+        own = "ru" if len(raw) > 1.3 * len(text) and not CYRILLIC.isdisjoint(text) else lang  # Cyrillic letters take two bytes
+        return len(self.packers[own].compress(raw)) + ESCAPE * self.odd(text)
 
     def utf8_steps(self, text: str) -> Iterator[tuple[str, str, float]]:
         """Texts before one misreading of UTF-8: (text, step, cost)."""
