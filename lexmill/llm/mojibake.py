@@ -219,9 +219,12 @@ class Restorer:
         self.memo: dict[tuple[str, str], tuple[str, str]] = {}
 
     def suspect(self, text: str) -> bool:
-        """Quick look for callers that restore only to read better: rare characters, mixed scripts or turned case."""
+        """Quick look for callers that restore only to read better: rare characters, mixed scripts or
+        turned case, and several unusual pairs."""
         chars = set(text)
-        return not chars <= self.common or (not chars.isdisjoint(CYRILLIC) and MIXED.search(text) is not None)
+        if chars <= self.common and (chars.isdisjoint(CYRILLIC) or MIXED.search(text) is None):
+            return False
+        return len(set(zip(text, text[1:], strict=False)) - self.usual) >= 4
 
     def odd(self, text: str) -> int:
         """Unusual pairs of neighbouring characters, ASCII pairs aside."""
@@ -313,18 +316,24 @@ class Restorer:
         odd = set(zip(text, text[1:], strict=False)) - self.usual
         if not odd and not (lost_sign and LOST.search(text)):
             return text, "", False
-        lang, out, chains, lost = language(text), [], [], False
+        lang, out, chains, known, lost = language(text), [], [], [], False
         strange = lambda t: not odd.isdisjoint(zip(t, t[1:], strict=False))
-        for piece in SENTENCE.split(text):
-            core = without_mentions(piece) if lost_sign or strange(piece) else piece
-            if strange(core):
-                fixed, chain = self.as_before(core, lang, chains) or self.sentence(core, lang)
+        pieces = SENTENCE.split(text)
+        cores = [without_mentions(p) if p and (lost_sign or strange(p)) else p for p in pieces]
+        oddest = [c for c in cores if c and strange(c)]
+        if len(oddest) > 2:  # the oddest piece tells most about how the text was misread
+            known += [c for c in [self.sentence(max(oddest, key=lambda c: self.odd(c[:600])), lang)[1]] if c]
+        for piece, core in zip(pieces, cores, strict=True):
+            if oddest and core and strange(core):
+                fixed, chain = self.as_before(core, lang, known) or self.sentence(core, lang)
                 if chain and core is not piece:
                     fixed, chain = self.sentence(piece, lang)
                 if chain:
                     chains.append(chain)
+                    known.append(chain)
                     piece, core = fixed, fixed
-            lost = lost or (lost_sign and LOST.search(core) is not None) or "�" in core or self.bare_lead(core)
+            if piece:
+                lost = lost or (lost_sign and LOST.search(core) is not None) or "�" in core or (bool(oddest) and self.bare_lead(core))
             out.append(piece)
         return "".join(out), "; ".join(dict.fromkeys(chains)), lost
 
