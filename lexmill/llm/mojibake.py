@@ -150,10 +150,13 @@ def undo_chain(text: str, chain: str) -> tuple[str, float]:
     return text, cost
 
 
+DIGITS = "0123456789"
+LETTERS = re.compile(r"[^\W\d_]{2,}")
 LOST = re.compile(r"�|(?<![\w/=&.])[^\W\d_]{1,30}\?[^\W\d_]{1,30}(?![\w/=&])|(?:(?<=\s)|^)\?(?=[^\W\d_])|[,;]\?(?=\s|$)|(?<![\w?!.…»”\"'’)\]])\?{2,}(?=\s|$)")
 BARE_LEAD = re.compile("[âÐÑÃÂ](?=[^\\W\\d_])")
+BARE_ENGLISH = re.compile(r"(?:^|[\s(])â[A-Za-z]|[a-z,.]â(?:[\s,]|$)")
 SENTENCE = re.compile(r"(\n|(?<=[.!?…;])[\"”»“’')\]]*\s+)")
-QUOTED = re.compile(r"[“«„‘‹][^ \n\t]{1,24}?[”»“’›]|[\"'(\[][^ \n\t\"]{1,24}[\"')\]]")
+QUOTED = re.compile(r"«[^ \n\t»]{1,24}»|“[^ \n\t”]{1,24}”|„[^ \n\t“”]{1,24}[“”]|[‘‹][^ \n\t’›]{1,24}[’›]|[\"'(\[][^ \n\t\"]{1,24}[\"')\]]")
 AFTER_NAME = re.compile(r"(?<=[Ff]olge )[^ \n]+?(?=[,.;]?[ \n])")
 
 
@@ -199,12 +202,23 @@ def fit(texts: Iterable[str]) -> Model:
             dictionaries[lang] = zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
         except zstandard.ZstdError:  # too little text: its own end is the dictionary
             dictionaries[lang] = b"".join(pieces)[-DICT_BYTES:]
-    usual |= {p for p, n in pooled.items() if n >= max(3, 0.002 * sum(map(len, by.values())))}
+    digits = Counter()  # a character beside one digit stands beside any
+    for (a, b), n in pooled.items():
+        digits["0" if a in DIGITS else a, "0" if b in DIGITS else b] += n
+    least = max(3, 0.002 * sum(map(len, by.values())))
+    for (a, b), n in digits.items():
+        if n >= least:
+            usual |= {(x, y) for x in (DIGITS if a == "0" else a) for y in (DIGITS if b == "0" else b)}
     count = Counter(c for sample in by.values() for t in sample for c in set(t))
     common = frozenset(c for c, n in count.items() if n >= 0.02 * sum(map(len, by.values())))
     return Model(dictionaries, frozenset(usual), common)
 
 
+def new_words(text: str, before: str) -> bool:
+    """Whether a text has words (two letters or more) with letters beyond ASCII that it hadn't before."""
+    return any(not w.isascii() and w not in before for w in LETTERS.findall(text))
+
+
 class Restorer:
     """Chooses decodings of least description length under a model."""
 
@@ -230,8 +244,10 @@ class Restorer:
         """Unusual pairs of neighbouring characters, ASCII pairs aside."""
         return max(len(text) - 1, 0) - sum(map(self.usual.__contains__, zip(text, text[1:], strict=False)))
 
-    def bare_lead(self, text: str) -> bool:
+    def bare_lead(self, text: str, lang: str) -> bool:
         """Whether a lead byte of UTF-8 stands alone, its continuation dropped as a control character."""
+        if lang == "en" and BARE_ENGLISH.search(text):
+            return True
         return any((text[m.start() - 1 : m.start()], m[0]) not in self.usual and (m[0], text[m.end() : m.end() + 1]) not in self.usual for m in BARE_LEAD.finditer(text) if 0 < m.end() < len(text))
 
     def odd_stretch(self, text: str) -> tuple[int, int] | None:
@@ -286,7 +302,7 @@ class Restorer:
                 kept += sorted(fresh)[:SHORTLIST]
                 for _, _, paid, c, path in sorted(fresh)[:SHORTLIST]:
                     n = self.length(c, lang) + paid
-                    if n < cost:
+                    if n < cost and (steps == self.utf8_steps or new_words(c, text)):
                         best, chain, cost, better = c, path, n, True
                 if better and not self.odd(best):  # nothing unusual is left that another step could mend
                     break
@@ -333,7 +349,7 @@ class Restorer:
                     known.append(chain)
                     piece, core = fixed, fixed
             if piece:
-                lost = lost or (lost_sign and LOST.search(core) is not None) or "�" in core or (bool(oddest) and self.bare_lead(core))
+                lost = lost or (lost_sign and LOST.search(core) is not None) or "�" in core or (bool(oddest) and self.bare_lead(core, lang))
             out.append(piece)
         return "".join(out), "; ".join(dict.fromkeys(chains)), lost
 
