@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import entities
+from lexmill.session import materialise
 
 
 def squeeze(c: Column) -> Column:
@@ -76,5 +77,6 @@ def rollup(found: DataFrame, cap: int = 1000) -> DataFrame:
     for level in ("file", "directory", "corpus"):
         base = base.withColumn("node", parent[level]).groupBy("job_id", "node", "severity", "finding_type", "head").agg(F.min("place").alias("place"))
         base = base.withColumn("_n", F.row_number().over(Window.partitionBy("job_id", "node").orderBy("place"))).filter(F.col("_n") <= cap).drop("_n")
+        base = materialise(base, f"rollup-{level}")  # the level above starts from here, not from the results
         levels.append(base.groupBy("job_id", "node").agg(F.count(F.lit(1)).alias("n_findings"), F.count(F.when(F.col("severity").isin("critical", "high"), 1)).alias("n_severe")).select("job_id", F.lit(level).alias("level"), "node", "n_findings", "n_severe"))
     return levels[0].unionByName(levels[1]).unionByName(levels[2])
