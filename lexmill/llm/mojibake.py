@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -135,7 +136,8 @@ def undo_lowered(text: str, charset: str) -> str:
 
 
 CYRILLIC = frozenset(map(chr, range(0x430, 0x450)))
-MIXED = re.compile("[а-яё](?:[A-Za-z]|[А-ЯЁ]{3})|[a-z][а-яё]")
+
+
 def undo_chain(text: str, chain: str) -> tuple[str, float]:
     """Text before the misreadings of a chain, undone from the last one on, and the chain's cost."""
     cost = 0.0
@@ -183,7 +185,6 @@ class Model:
 
     dictionaries: dict[str, bytes]
     usual: frozenset[tuple[str, str]]
-    common: frozenset[str] = frozenset()
 
 
 def fit(texts: Iterable[str]) -> Model:
@@ -209,9 +210,7 @@ def fit(texts: Iterable[str]) -> Model:
     for (a, b), n in digits.items():
         if n >= least:
             usual |= {(x, y) for x in (DIGITS if a == "0" else a) for y in (DIGITS if b == "0" else b)}
-    count = Counter(c for sample in by.values() for t in sample for c in set(t))
-    common = frozenset(c for c, n in count.items() if n >= 0.02 * sum(map(len, by.values())))
-    return Model(dictionaries, frozenset(usual), common)
+    return Model(dictionaries, frozenset(usual))
 
 
 def new_words(text: str, before: str) -> bool:
@@ -219,12 +218,24 @@ def new_words(text: str, before: str) -> bool:
     return any(not w.isascii() and w not in before for w in LETTERS.findall(text))
 
 
+def pair_table(usual: Iterable[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each character (0 if in no usual pair), and by two numbers whether the pair is usual; line ends go with all."""
+    rows = [(ord(a), ord(b)) for a, b in usual]
+    alphabet = sorted({c for r in rows for c in r} | {10})
+    code = np.zeros(0x110000, np.uint16)
+    code[alphabet] = np.arange(1, len(alphabet) + 1)
+    table = np.zeros((len(alphabet) + 1,) * 2, bool)
+    table[code[[a for a, _ in rows]], code[[b for _, b in rows]]] = True
+    table[code[10], :] = table[:, code[10]] = True
+    return code, table
+
+
 class Restorer:
     """Chooses decodings of least description length under a model."""
 
     def __init__(self, model: Model):
-        self.common = model.common
         self.usual = model.usual | {(chr(a), chr(b)) for a in range(128) for b in range(128)}
+        self.code, self.table = pair_table(self.usual)
         self.packers = {}
         for lang, raw in model.dictionaries.items():
             kind = zstandard.DICT_TYPE_AUTO
@@ -232,13 +243,12 @@ class Restorer:
             self.packers[lang] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.memo: dict[tuple[str, str], tuple[str, str]] = {}
 
-    def suspect(self, text: str) -> bool:
-        """Quick look for callers that restore only to read better: rare characters, mixed scripts or
-        turned case, and several unusual pairs."""
-        chars = set(text)
-        if chars <= self.common and (chars.isdisjoint(CYRILLIC) or MIXED.search(text) is None):
+    def unusual(self, text: str) -> bool:
+        """Whether any line of a text holds an unusual pair, looked up for all its characters at once."""
+        if text.isascii():
             return False
-        return len(set(zip(text, text[1:], strict=False)) - self.usual) >= 4
+        codes = self.code[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        return not self.table[codes[:-1], codes[1:]].all()
 
     def odd(self, text: str) -> int:
         """Unusual pairs of neighbouring characters, ASCII pairs aside."""
@@ -329,7 +339,7 @@ class Restorer:
         lost_sign = "?" in text or "�" in text
         if text.isascii() and not lost_sign:
             return text, "", False
-        odd = set(zip(text, text[1:], strict=False)) - self.usual
+        odd = set(zip(text, text[1:], strict=False)) - self.usual if self.unusual(text) else set()
         if not odd and not (lost_sign and LOST.search(text)):
             return text, "", False
         lang, out, chains, known, lost = language(text), [], [], [], False
