@@ -92,11 +92,14 @@ def sequences(charset: str) -> re.Pattern:
     return re.compile(f"{chars(0xC2, 0xDF)}{tail}|{chars(0xE0, 0xEF)}{tail}{{2}}|{chars(0xF0, 0xF4)}{tail}{{3}}")
 
 
+DEBRIS_SETS = ["cp1252", "latin-1", "cp1251", "cp437", "cp866", "mac-roman", "cp1250"]
+
+
 @cache
 def debris() -> re.Pattern:
     """Sure signs of misread UTF-8 in the corpus's scripts: Latin, Cyrillic and quotation marks."""
     found = []
-    for c in ("cp1252", "latin-1", "cp1251", "cp437", "cp866", "mac-roman", "cp1250"):
+    for c in DEBRIS_SETS:
         t = table(c)
         tail = "[" + re.escape("".join(t[0x80:0xC0]) + "\ufffd") + "]"
         found.append("[" + re.escape("".join(t[b] for b in (0xC2, 0xC3, 0xC5, 0xD0, 0xD1))) + "]" + tail)
@@ -104,6 +107,23 @@ def debris() -> re.Pattern:
     return re.compile("|".join(found))
 
 
+@cache
+def debris_bits() -> tuple[np.ndarray, np.ndarray]:
+    """Per character a bit for each charset in which it may begin debris, and in which it may go on."""
+    lead, tail = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
+    for i, c in enumerate(DEBRIS_SETS):
+        t = table(c)
+        lead[[ord(t[b]) for b in (0xC2, 0xC3, 0xC5, 0xD0, 0xD1, 0xE2)]] |= 1 << i
+        tail[[*map(ord, t[0x80:0xC0]), 0xFFFD]] |= 1 << i
+    return lead, tail
+
+
+def has_debris(text: str, codes: np.ndarray) -> bool:
+    """``debris`` searched for where the pairs of characters allow it."""
+    lead, tail = debris_bits()
+    return bool((lead[codes[:-1]] & tail[codes[1:]]).any()) and debris().search(text) is not None
+
+
 def undo_utf8(text: str, charset: str) -> str:
     """Decode the UTF-8 sequences of ``text`` that were read as ``charset``; others stay."""
     bytes_of = to_bytes(charset)
@@ -169,14 +189,27 @@ def without_mentions(sentence: str) -> str:
     return AFTER_NAME.sub("", QUOTED.sub("", sentence))
 
 
+# Bytes of a text as words of a-z, and the languages of each stop word.
+WORDS_ONLY = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz" else c + 32 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for c in range(256))
+STOPWORD_OF = {w.encode(): [k for k, ws in STOPWORDS.items() if w in ws.split()] for ws in STOPWORDS.values() for w in ws.split()}
+
+
 def language(text: str) -> str:
-    words = Counter(re.findall(r"[a-z]+", text.lower()))
-    return max(STOPWORDS, key=lambda k: (sum(words[w] for w in STOPWORDS[k].split()), k == "en"))
+    hits = dict.fromkeys(STOPWORDS, 0)
+    for w in filter(STOPWORD_OF.__contains__, text.encode("utf-8", "replace").translate(WORDS_ONLY).split()):
+        for k in STOPWORD_OF[w]:
+            hits[k] += 1
+    return max(hits, key=lambda k: (hits[k], k == "en"))
+
 
+def points(text: str) -> np.ndarray:
+    """Code points of a text."""
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
-def mostly_cyrillic(text: str) -> bool:
-    cyrillic = len(re.findall(r"[Ѐ-ӿ]", text))
-    return cyrillic > 0 and cyrillic >= 0.3 * sum(c.isalpha() for c in text)
+
+def mostly_cyrillic(text: str, codes: np.ndarray) -> bool:
+    cyrillic = int(((codes >= 0x400) & (codes < 0x500)).sum())
+    return cyrillic > 0 and cyrillic >= 0.3 * sum(map(str.isalpha, text))
 
 
 @dataclass
@@ -187,30 +220,95 @@ class Model:
     usual: frozenset[tuple[str, str]]
 
 
-def fit(texts: Iterable[str]) -> Model:
-    """Model of a bounded sample of texts; those with UTF-8 debris are left out."""
+Pairs = dict[str, tuple[int, ...]]
+
+
+def kind_of(text: str, codes: np.ndarray) -> str | None:
+    """Language that a text is counted under; None for those with UTF-8 debris."""
+    if text.isascii():
+        return language(text)
+    if "�" in text or has_debris(text, codes):
+        return None
+    return "ru" if mostly_cyrillic(text, codes) else language(text)
+
+
+def count_pairs(texts: Iterable[str | None], into: dict[str, Counter] | None = None) -> dict[str, Counter]:
+    """Per language the number of texts, under "", and of texts that hold each pair of characters beyond ASCII."""
+    counts = {k: Counter() for k in LANGUAGES} if into is None else into
+    found: dict[str, list[np.ndarray]] = {k: [] for k in LANGUAGES}
+    for t in filter(None, texts):
+        c = points(t)
+        if lang := kind_of(t, c):
+            counts[lang][""] += 1
+            if not t.isascii():
+                a, b = c[:-1], c[1:]
+                beyond = np.flatnonzero((a | b) > 127)
+                found[lang].append(np.unique(a[beyond].astype(np.int64) << 21 | b[beyond]))
+    for lang, keys in found.items():
+        if keys:
+            for k, n in zip(*(x.tolist() for x in np.unique(np.concatenate(keys), return_counts=True)), strict=True):
+                counts[lang][chr(k >> 21) + chr(k & 0x1FFFFF)] += n
+    return counts
+
+
+def by_pair(counts: dict[str, Counter]) -> Pairs:
+    return {p: tuple(counts[k][p] for k in LANGUAGES) for p in set().union(*counts.values())}
+
+
+def corpus_pairs(records: DataFrame) -> Pairs:
+    """``count_pairs`` over all records (column ``text``), combined in each task.
+
+    Pairs that fewer than three texts hold can't be usual and stay behind, unless they have a
+    digit, so what reaches the driver is bounded by the alphabet.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = count_pairs(())
+        for b in batches:
+            count_pairs(b.column("text").to_pylist(), counts)
+        rows = by_pair(counts)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows.values(), strict=True))], names=["pair", *LANGUAGES])
+
+    sums = records.select("text").mapInArrow(partial, "pair string, " + ", ".join(f"{k} bigint" for k in LANGUAGES)).groupBy("pair").agg(*[F.sum(k).alias(k) for k in LANGUAGES])
+    kept = sums.filter((F.expr(" + ".join(LANGUAGES)) >= 3) | F.col("pair").rlike("[0-9]") | (F.col("pair") == ""))
+    return {r[0]: tuple(r[1:]) for r in kept.collect()}
+
+
+def usual_pairs(pairs: Pairs) -> frozenset[tuple[str, str]]:
+    """Pairs that stand in a share of the texts of a language; beside one digit is beside any."""
+    texts = pairs.get("", (0,) * len(LANGUAGES))
+    usual, digits = set(), Counter()
+    for p, counts in pairs.items():
+        if p:
+            a, b = p
+            if any(n >= max(3, 0.005 * of) for n, of in zip(counts, texts, strict=True)):
+                usual.add((a, b))
+            digits["0" if a in DIGITS else a, "0" if b in DIGITS else b] += sum(counts)
+    for (a, b), n in digits.items():
+        if n >= max(3, 0.002 * sum(texts)):
+            usual |= {(x, y) for x in (DIGITS if a == "0" else a) for y in (DIGITS if b == "0" else b)}
+    return frozenset(usual)
+
+
+def fit(texts: Iterable[str], pairs: Pairs | None = None) -> Model:
+    """Model with dictionaries of a bounded sample of texts and the pairs usual in all texts.
+
+    ``pairs`` are those of ``corpus_pairs``; without them the sample counts as all texts.
+    """
+    texts = list(texts)
     by: dict[str, list[str]] = {k: [] for k in LANGUAGES}
-    for t in texts:
-        if t and not debris().search(t) and "�" not in t:
-            by["ru" if mostly_cyrillic(t) else language(t)].append(t)
-    dictionaries, usual, pooled = {}, set(), Counter()
+    for t in filter(None, texts):
+        if kind := kind_of(t, points(t)):
+            by[kind].append(t)
+    dictionaries = {}
     for lang, sample in by.items():
-        pairs = Counter(p for t in sample for p in set(zip(t, t[1:], strict=False)) if not (p[0] + p[1]).isascii())
-        pooled.update(pairs)
-        usual |= {p for p, n in pairs.items() if n >= max(3, 0.005 * len(sample))}
         pieces = [s.encode() for t in sample for s in SENTENCE.split(t) if len(s) > 8]
         try:
             dictionaries[lang] = zstandard.train_dictionary(DICT_BYTES, pieces).as_bytes()
         except zstandard.ZstdError:  # too little text: its own end is the dictionary
             dictionaries[lang] = b"".join(pieces)[-DICT_BYTES:]
-    digits = Counter()  # a character beside one digit stands beside any
-    for (a, b), n in pooled.items():
-        digits["0" if a in DIGITS else a, "0" if b in DIGITS else b] += n
-    least = max(3, 0.002 * sum(map(len, by.values())))
-    for (a, b), n in digits.items():
-        if n >= least:
-            usual |= {(x, y) for x in (DIGITS if a == "0" else a) for y in (DIGITS if b == "0" else b)}
-    return Model(dictionaries, frozenset(usual))
+    return Model(dictionaries, usual_pairs(by_pair(count_pairs(texts)) if pairs is None else pairs))
 
 
 def new_words(text: str, before: str) -> bool:
@@ -247,7 +345,7 @@ class Restorer:
         """Whether any line of a text holds an unusual pair, looked up for all its characters at once."""
         if text.isascii():
             return False
-        codes = self.code[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+        codes = self.code[points(text)]
         return not self.table[codes[:-1], codes[1:]].all()
 
     def odd(self, text: str) -> int:

@@ -61,3 +61,13 @@ def test_edges(restorer, spark):
     assert M.affected(none, model).count() == 0
     rows = spark.createDataFrame([("a", "1", None, "c"), ("a", "2", misread(RU[0], "utf-8", "cp1252"), "c")] * 2, none.schema)
     assert {r.rec_key for r in M.affected(rows, M.fit(CORPUS)).collect()} == {"2"}
+
+
+def test_pairs_are_counted_over_all_rows(spark):
+    rare = "Les îles ont dû naître là où le maïs et le canoë – déjà – sont arrivés."
+    texts = [*(t for t in CORPUS for _ in range(5)), *[rare] * 12, None, "", misread(rare, "utf-8", "cp1252")]
+    rows = spark.createDataFrame([("a", str(i), t) for i, t in enumerate(texts)], "origin string, rec_key string, text string").repartition(3)
+    sample = M.sample_texts(rows, 100)
+    assert M.corpus_pairs(rows)["oë"][M.LANGUAGES.index("fr")] == 12 > sample.count(rare)
+    assert ("o", "ë") in M.fit(sample, M.corpus_pairs(rows)).usual and ("o", "ë") not in M.fit(sample).usual
+    assert M.fit(CORPUS, M.by_pair(M.count_pairs(CORPUS))).usual == M.fit(CORPUS).usual
