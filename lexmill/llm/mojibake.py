@@ -42,7 +42,11 @@ ABOUT = re.compile(r"misread|wrong (table|encoding|charset|code page)|sample of|
 STEP_COST = {"utf8": 1.0, "lower": 3.0, "swap": 3.0}
 #: Bytes that each pair of characters unknown to the model adds to a description.
 ESCAPE = 3.0
-MAX_STEPS, SHORTLIST = 3, 6
+#: Steps of a chain, and the candidates (those with fewest unusual pairs) that a further step is tried on: more than one
+#: step makes, so only third steps leave some out; in sentences above LONG_SENTENCE characters LONG_BEAM of them.
+MAX_STEPS, BEAM, LONG_SENTENCE, LONG_BEAM = 3, 300, 1000, 2
+#: No compressed text is shorter: magic number, frame header and window, block header.
+FRAME = 9
 #: Size of a dictionary, and the number of texts (those of least key hash) that a model is fitted on.
 DICT_BYTES, SAMPLE = 48 << 10, 8000
 
@@ -339,7 +343,7 @@ class Restorer:
             kind = zstandard.DICT_TYPE_AUTO
             d = zstandard.ZstdCompressionDict(raw, dict_type=kind) if raw else None
             self.packers[lang] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.memo: dict[tuple[str, str], tuple[str, str]] = {}
+        self.memo: dict[str, tuple[str, str]] = {}
 
     def unusual(self, text: str) -> bool:
         """Whether any line of a text holds an unusual pair, looked up for all its characters at once."""
@@ -363,10 +367,10 @@ class Restorer:
         spots = [m.span() for m in re.finditer(r"[^ \n]+", text) if self.odd(m[0])]
         return (spots[0][0], spots[-1][1]) if spots and (spots[0][0] > 0 or spots[-1][1] < len(text.rstrip())) else None
 
-    def length(self, text: str, lang: str) -> float:
+    def length(self, text: str, odd: int | None = None) -> float:
+        """Least compressed size under any of the dictionaries, and ESCAPE for each unusual pair."""
         raw = text.encode("utf-8", "replace")
-        own = "ru" if len(raw) > 1.3 * len(text) and not CYRILLIC.isdisjoint(text) else lang  # Cyrillic letters take two bytes
-        return len(self.packers[own].compress(raw)) + ESCAPE * self.odd(text)
+        return min(len(p.compress(raw)) for p in self.packers.values()) + ESCAPE * (self.odd(text) if odd is None else odd)
 
     def utf8_steps(self, text: str) -> Iterator[tuple[str, str, float]]:
         """Texts before one misreading of UTF-8: (text, step, cost)."""
@@ -391,42 +395,45 @@ class Restorer:
                     if stretch:
                         yield text[: stretch[0]] + part.translate(swap) + text[stretch[1] :], f"{real} as {c}", STEP_COST["swap"]
 
-    def sentence(self, text: str, lang: str) -> tuple[str, str]:
-        """Restored sentence and its chain ("" if left unchanged)."""
-        done = self.memo.get((text, lang))
+    def sentence(self, text: str) -> tuple[str, str]:
+        """Restored sentence and its chain ("" if left unchanged).
+
+        Of each step all candidates are weighed, but those whose unusual pairs, steps and
+        FRAME alone are no shorter than the best description so far.
+        """
+        done = self.memo.get(text)
         if done:
             return done
-        best, chain, cost = text, "", self.length(text, lang)
+        best, chain, cost = text, "", self.length(text)
         front, seen = [(text, "", 0.0)], {text}
         for _ in range(MAX_STEPS):
-            better, kept = False, []
-            for steps in (self.utf8_steps, self.swap_steps):
-                fresh = []
-                for t, path, paid in front:
+            better, fresh = False, []
+            for t, path, paid in front:
+                for steps in (self.utf8_steps, self.swap_steps):
                     for c, step, price in steps(t):
                         if c not in seen and "￿" not in c:
                             seen.add(c)
-                            fresh.append((self.odd(c), len(c), paid + price, c, f"{path} < {step}" if path else step))
-                kept += sorted(fresh)[:SHORTLIST]
-                for _, _, paid, c, path in sorted(fresh)[:SHORTLIST]:
-                    n = self.length(c, lang) + paid
-                    if n < cost and (steps == self.utf8_steps or new_words(c, text)):
+                            words = steps == self.utf8_steps or new_words(c, text)
+                            fresh.append((self.odd(c), len(c), paid + price, c, f"{path} < {step}" if path else step, words))
+            fresh.sort()
+            for odd, _, paid, c, path, words in fresh:
+                if words and ESCAPE * odd + paid + FRAME < cost:
+                    n = self.length(c, odd) + paid
+                    if n < cost:
                         best, chain, cost, better = c, path, n, True
-                if better and not self.odd(best):  # nothing unusual is left that another step could mend
-                    break
-            if not better or not self.odd(best):
+            if not better or not self.odd(best):  # nothing unusual is left that another step could mend
                 break
-            front = [(c, path, paid) for _, _, paid, c, path in sorted(kept)[:2]]
+            front = [(c, path, paid) for _, _, paid, c, path, _ in fresh[: BEAM if len(text) <= LONG_SENTENCE else LONG_BEAM]]
         if len(self.memo) > 50_000:
             self.memo.clear()
-        self.memo[text, lang] = best, chain
+        self.memo[text] = best, chain
         return best, chain
 
-    def as_before(self, text: str, lang: str, chains: list[str]) -> tuple[str, str] | None:
+    def as_before(self, text: str, chains: list[str]) -> tuple[str, str] | None:
         """The text restored by a chain of its neighbours, if that leaves nothing odd and pays."""
         for chain in dict.fromkeys(chains):
             c, paid = undo_chain(text, chain)
-            if c != text and not self.odd(c) and self.length(c, lang) + paid < self.length(text, lang):
+            if c != text and not self.odd(c) and self.length(c, 0) + paid < self.length(text):
                 return c, chain
         return None
 
@@ -446,12 +453,12 @@ class Restorer:
         cores = [without_mentions(p) if p and (lost_sign or strange(p)) else p for p in pieces]
         oddest = [c for c in cores if c and strange(c)]
         if len(oddest) > 2:  # the oddest piece tells most about how the text was misread
-            known += [c for c in [self.sentence(max(oddest, key=lambda c: self.odd(c[:600])), lang)[1]] if c]
+            known += [c for c in [self.sentence(max(oddest, key=lambda c: self.odd(c[:600])))[1]] if c]
         for piece, core in zip(pieces, cores, strict=True):
             if oddest and core and strange(core):
-                fixed, chain = self.as_before(core, lang, known) or self.sentence(core, lang)
+                fixed, chain = self.as_before(core, known) or self.sentence(core)
                 if chain and core is not piece:
-                    fixed, chain = self.sentence(piece, lang)
+                    fixed, chain = self.sentence(piece)
                 if chain:
                     chains.append(chain)
                     known.append(chain)

@@ -71,3 +71,25 @@ def test_pairs_are_counted_over_all_rows(spark):
     assert M.corpus_pairs(rows)["oë"][M.LANGUAGES.index("fr")] == 12 > sample.count(rare)
     assert ("o", "ë") in M.fit(sample, M.corpus_pairs(rows)).usual and ("o", "ë") not in M.fit(sample).usual
     assert M.fit(CORPUS, M.by_pair(M.count_pairs(CORPUS))).usual == M.fit(CORPUS).usual
+
+
+def test_all_candidates_of_a_step_are_weighed(restorer):
+    text, chain = restorer.sentence(misread(RU[2], "cp1251", "koi8-r"))
+    assert text == RU[2] and chain
+    weighed = {}
+    measure = restorer.length
+    restorer.length = lambda t, odd=None: weighed.setdefault(t, measure(t, odd))
+    try:
+        garbled = misread(misread(DE[2], "cp1252", "mac-roman"), "utf-8", "cp866")
+        best, path = restorer.sentence(garbled)
+    finally:
+        del restorer.length
+    paid = M.undo_chain(garbled, path)[1]
+    for steps in (restorer.utf8_steps, restorer.swap_steps):
+        for c, _, price in steps(garbled):
+            if c not in weighed and "￿" not in c and (steps == restorer.utf8_steps or M.new_words(c, garbled)):
+                assert price + restorer.length(c) >= paid + restorer.length(best)
+    assert best == DE[2]
+    for t in (DE[2], FR[0], RU[0]):
+        sizes = [len(p.compress(t.encode())) for p in restorer.packers.values()]
+        assert restorer.length(t) == min(sizes) + M.ESCAPE * restorer.odd(t)
