@@ -2,11 +2,15 @@
 
 Documents are spread over shards of bounded size by key hash; each shard is
 packed for itself, so the last containers of a shard are the only ones that
-sharding leaves less full. Within a shard: a document above the capacity gives
-full pieces and one rest; the lengths are counted in classes; patterns of a few
-lengths that fill a container are enumerated; their repeat counts are fitted to
-the histogram by non-negative least squares and rounded down to what is there;
-what remains is put where it leaves the least space.
+sharding leaves less full. Within a shard a document above the capacity gives full
+pieces and one rest. Each container is thought of as cells of equal size, chosen so
+that two or three lengths fill a cell: a length takes whole cells and leaves a
+remainder. All patterns of up to three remainders that fill a cell exactly are
+enumerated, their repeat counts are fitted to the histogram of remainders by
+non-negative least squares, rounded down, and topped up by largest fraction as long
+as documents are there. Filled cells, with the whole cells of their documents, are
+put side by side in containers. What no pattern takes is put where it leaves the
+least space.
 
 Edge cases: a document without tokens needs no container (null container and
 unused space, one row). Repeated rows of a doc_id count once. Capacities that are
@@ -17,124 +21,207 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections import deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of a shard, most length classes of a capacity, and most patterns fitted.
-SHARD_DOCS, CLASSES, PATTERNS = 65_536, 256, 6000
+#: Documents of a shard, and the largest cell: patterns of three parts are about a twelfth of its square.
+SHARD_DOCS, CELL = 65_536, 512
+#: In containers of so few cells a pattern holds at most one item that takes whole cells besides.
+FEW_CELLS = 4
+#: Shares of the filled cells that are given back in turn, until no container could be saved or patterns placed fewer than LEAST_PLACED.
+LEAST_PLACED = 0.8
+GIVEN_BACK = (0.0, 0.04, 0.08, 0.12, 0.15, 0.18)
 #: Kinds of containers (rows of the settings table) allowed.
 KINDS = 1000
 PACKED = "container_name string, capacity_tokens int, doc_id bigint, piece_no int, piece_tokens bigint, container_id string, unused_tokens bigint"
 
 
-def patterns(present: np.ndarray, capacity: int) -> np.ndarray:
-    """Patterns (rows: repeats of each class) of up to three kinds of lengths that fill ``capacity``.
+def cell_size(sizes: np.ndarray, capacity: int) -> int:
+    """Largest cell (at most CELL) whose remainders are on average at least a third of it, so few of them fill it."""
+    cells = max(1, -(-capacity // CELL))
+    while cells < capacity // 16 and 3 * remainders(sizes, capacity // cells).mean() < capacity // cells:
+        cells *= 2
+    return capacity // cells
 
-    ``present`` holds the class sizes that occur. Patterns that leave less space come first.
+
+def remainders(sizes: np.ndarray, cell: int) -> np.ndarray:
+    """What each length leaves after whole cells, from 1 to the cell."""
+    return (sizes - 1) % cell + 1
+
+
+def patterns(present: np.ndarray, cell: int, one_long: bool = False) -> np.ndarray:
+    """All ways to fill ``cell`` with one, two or three of the classes ``present``: rows of three, 0 for none.
+
+    Classes up to ``cell`` are lengths; class ``cell + n`` is length n of an item that takes
+    whole cells besides, of which a pattern holds at most one if ``one_long``.
+    """
+    there = np.zeros(2 * cell + 1, bool)
+    there[present] = True
+    found = [np.array([[c, 0, 0] for c in (cell, 2 * cell) if there[c]], np.int64).reshape(-1, 3)]
+    for tails in ((False, False), (True, False), (True, True)):  # whether the first and second part are long
+        first, second = (present[(present > cell) == t] for t in tails)
+        a, b = np.meshgrid(first, second, indexing="ij")
+        rest = cell - (a - cell * tails[0]) - (b - cell * tails[1])
+        ordered = (a >= b) if tails[0] == tails[1] else np.ones_like(rest, bool)
+        pairs = ordered & (rest == 0)
+        found.append(np.stack([a[pairs], b[pairs], rest[pairs]], 1))
+        for last in (False, True):
+            c = np.clip(rest, 0, cell) + cell * last
+            triples = ordered & (rest > 0) & there[c] & ((c <= b) if tails[1] == last else (tails[1] > last))
+            found.append(np.stack([a[triples], b[triples], c[triples]], 1))
+    out = np.concatenate(found).astype(np.int64)
+    return out[(out > cell).sum(1) <= 1] if one_long else out
+
+
+def nonnegative_fit(parts: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 200) -> np.ndarray:
+    """x >= 0 that minimises the weighted squares of (uses of each length) - target, by accelerated projected gradient.
+
+    ``parts`` has the lengths of each pattern (0 for none); ``target`` and ``weight`` go by length.
     """
-    n, rows, seen = len(present), [], set()
-    index = {int(v): i for i, v in enumerate(present)}
-    slack_limit = max(1, capacity // 64)
-
-    def add(counts: dict[int, int]) -> None:
-        key = tuple(sorted(counts.items()))
-        if key not in seen:
-            seen.add(key)
-            rows.append((capacity - sum(k * v for k, v in key), key))
-
-    stride = max(1, n // 96)
-    for a in present[::-1]:
-        a = int(a)
-        add({a: capacity // a})
-        for m in {1, 2, max(1, capacity // (2 * a)), max(1, capacity // a - 1)}:
-            rest = capacity - m * a
-            if rest <= 0:
-                continue
-            for b in (present[::stride] if rest >= present[0] else []):
-                b = int(b)
-                k = rest // b
-                if b == a or k < 1:
-                    continue
-                left = rest - k * b
-                if left <= slack_limit:
-                    add({a: m, b: k})
-                elif left in index and left not in (a, b):
-                    add({a: m, b: k, left: 1})
-                elif k > 1 and (left + b) in index and (left + b) not in (a, b):
-                    add({a: m, b: k - 1, left + b: 1})
-            if rest in index:
-                add({a: m, rest: 1} if rest != a else {a: m + 1})
-    rows.sort()
-    out = np.zeros((min(len(rows), PATTERNS), n))
-    for r, (_, key) in enumerate(rows[:PATTERNS]):
-        for v, k in key:
-            out[r, index[v]] = k
-    return out
-
-
-def nonnegative_fit(a: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 150) -> np.ndarray:
-    """x >= 0 that minimises the weighted squares of x @ a - target, by accelerated projected gradient."""
-    aw, tw = a * weight, target * weight
-    v = np.ones(a.shape[1])
+    n, width = len(target), parts.shape[1]
+    square = weight * weight
+    square[0] = 0.0
+    flat = parts.ravel()
+
+    def uses(x: np.ndarray) -> np.ndarray:
+        return np.bincount(flat, np.repeat(x, width), n)
+
+    v = np.ones(len(parts))
     for _ in range(12):  # largest eigenvalue, for the step
-        v = (v @ aw.T) @ aw
+        v = (uses(v) * square)[parts].sum(1)
         norm = float(np.linalg.norm(v)) or 1.0
         v /= norm
-    x = y = np.zeros(a.shape[0])
+    x = y = np.zeros(len(parts))
     t = 1.0
     for _ in range(steps):
-        nxt = np.maximum(y - ((y @ aw - tw) @ aw.T) / (norm * 1.05), 0)
+        nxt = np.maximum(y - ((uses(y) - target) * square)[parts].sum(1) / (norm * 1.05), 0)
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         y = nxt + (t - 1) / t2 * (nxt - x)
         x, t = nxt, t2
     return x
 
 
-def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Container number of each item (1 <= size <= capacity) and the space each container has left."""
-    bins = np.full(len(sizes), -1, np.int64)
+def repeats(parts: np.ndarray, counts: np.ndarray, cell: int) -> np.ndarray:
+    """Whole repeat counts of the patterns that together use no more of each length than there is."""
+    left = counts.copy()
+    left[0] = np.iinfo(np.int64).max // 4
+    lengths = np.arange(len(counts))
+    lengths = np.where(lengths > cell, lengths - cell, lengths)
+    x = nonnegative_fit(parts, counts.astype(float), lengths / cell)
+    times = np.floor(x).astype(np.int64)
+    for r in np.flatnonzero(times).tolist():  # the fit may overshoot here and there
+        times[r] = take(parts[r], left, int(times[r]))
+    # from the longest part on, as short ones fit anywhere; of equal ones those that the fit wants more of
+    longest = parts[np.arange(len(parts)), lengths[parts].argmax(1)]
+    order = np.lexsort((times - x, -longest, -lengths[longest]))
+    for rows in np.split(order, np.flatnonzero(np.diff(longest[order])) + 1):
+        more = True
+        while left[longest[rows[0]]] and more:
+            more = False
+            for r in rows[(left[parts[rows]] > 0).all(1)].tolist():
+                if take(parts[r], left, 1):
+                    times[r] += 1
+                    more = True
+    return times
+
+
+def take(parts: np.ndarray, left: np.ndarray, most: int) -> int:
+    """Up to ``most`` repeats of one pattern taken from the lengths left; their number."""
+    need: dict[int, int] = {}
+    for v in parts.tolist():
+        if v:
+            need[v] = need.get(v, 0) + 1
+    k = min(most, *(int(left[v]) // c for v, c in need.items()))
+    if k > 0:
+        for v, c in need.items():
+            left[v] -= k * c
+    return max(k, 0)
+
+
+def pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Container of each item (1 <= size <= capacity), the space each container has left, and the items that patterns placed."""
     if not len(sizes):
-        return bins, np.zeros(0, np.int64)
-    unit = max(1, math.ceil(capacity / CLASSES))
-    room = capacity // unit
-    classes = -(-sizes // unit)
-    order = np.argsort(-sizes, kind="stable")
-    fits = classes[order] <= room
-    present, first, counts = np.unique(-classes[order][fits], return_index=True, return_counts=True)
-    present, items = -present, order[fits]
-    queue = {int(v): items[s : s + c] for v, s, c in zip(present, first, counts, strict=True)}
-    left: list[int] = []
-    if len(present):
-        present, counts = present[::-1], counts[::-1].astype(float)
-        a = patterns(present, room)
-        x = nonnegative_fit(a, counts, present / room)
-        for r in np.argsort(-x):
-            need = [(int(present[j]), int(a[r, j])) for j in np.nonzero(a[r])[0]]
-            times = min(int(x[r] + 0.5), *(len(queue[v]) // k for v, k in need)) if x[r] >= 0.5 else 0
-            if times > 0:
-                space = np.full(times, capacity, np.int64)
-                for v, k in need:
-                    take, queue[v] = queue[v][: times * k], queue[v][times * k :]
-                    bins[take] = np.repeat(np.arange(len(left), len(left) + times), k)
-                    space -= sizes[take].reshape(times, k).sum(1)
-                left.extend(space.tolist())
-    rest = np.nonzero(bins < 0)[0]
-    if len(rest):  # best fit, longest first
-        least = int(sizes[rest].min())
-        open_bins = sorted((s, b) for b, s in enumerate(left) if s >= least)
-        for i in rest[np.argsort(-sizes[rest], kind="stable")].tolist():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    cell = cell_size(sizes, capacity)
+    groups = filled_cells(remainders(sizes, cell), (sizes - 1) // cell, cell, capacity // cell)
+    bound, best = -(-int(sizes.sum()) // capacity), None
+    for back in GIVEN_BACK:  # short items that patterns held may go with the rest, where it lacks them
+        kept = [g for i, g in enumerate(groups) if (i * back) % 1 + back < 1 or not back]
+        tried = fill(sizes, capacity, kept, cell)
+        if best is not None and tried[2].mean() < LEAST_PLACED:
+            break
+        if best is None or len(tried[1]) < len(best[1]):
+            best = tried
+        if len(best[1]) <= bound:
+            break
+    return best
+
+
+def fill(sizes: np.ndarray, capacity: int, groups: list[tuple[int, list[int]]], cell: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pack`` with the filled cells given: they are put side by side, and other items by best fit."""
+    bins = np.full(len(sizes), -1, np.int64)
+    left = side_by_side(groups, capacity // cell, bins)
+    placed = bins >= 0
+    space = [capacity - (capacity // cell - n) * cell for n in left]
+    items = np.flatnonzero(~placed)
+    if len(items):  # best fit, longest first
+        least = int(sizes[items].min())
+        open_bins = sorted((s, b) for b, s in enumerate(space) if s >= least)
+        for i in items[np.argsort(-sizes[items], kind="stable")].tolist():
             size = int(sizes[i])
             at = bisect_left(open_bins, (size, -1))
-            space, b = open_bins.pop(at) if at < len(open_bins) else (capacity, len(left))
-            if b == len(left):
-                left.append(capacity)
-            bins[i], left[b] = b, space - size
-            if space - size >= least:
-                insort(open_bins, (space - size, b))
-    return bins, np.array(left, np.int64)
+            room, b = open_bins.pop(at) if at < len(open_bins) else (capacity, len(space))
+            if b == len(space):
+                space.append(capacity)
+            bins[i], space[b] = b, room - size
+            if room - size >= least:
+                insort(open_bins, (room - size, b))
+    return bins, np.array(space, np.int64), placed
+
+
+def filled_cells(rest: np.ndarray, whole: np.ndarray, cell: int, cells: int) -> list[tuple[int, list[int]]]:
+    """Items that fill a cell together, with the number of cells they take; those with most cells first."""
+    kind = np.where(whole > 0, rest + cell, rest)
+    counts = np.bincount(kind, minlength=2 * cell + 1)
+    parts = patterns(np.flatnonzero(counts), cell, cells <= FEW_CELLS)
+    if not len(parts):
+        return []
+    times = repeats(parts, counts, cell)
+    # the first long part takes from those with most whole cells, other parts from those with fewest
+    order = np.lexsort((-whole, kind))
+    present, sizes = np.unique(kind, return_counts=True)
+    queues = {int(v): deque(q.tolist()) for v, q in zip(present, np.split(order, np.cumsum(sizes)[:-1]), strict=True)}
+    groups: list[tuple[int, list[int]]] = []
+    for r in np.flatnonzero(times).tolist():
+        first, *more = (v for v in parts[r].tolist() if v)
+        for _ in range(int(times[r])):
+            own = [queues[first].popleft(), *(queues[v].pop() for v in more)]
+            n = 1 + int(whole[own].sum())
+            if n <= cells:
+                groups.append((n, own))
+    return sorted(groups, key=lambda g: -g[0])
+
+
+def side_by_side(groups: list[tuple[int, list[int]]], cells: int, bins: np.ndarray) -> list[int]:
+    """Puts filled cells into containers of ``cells`` cells each; the cells that each container has left."""
+    left: list[int] = []
+    by_room: list[list[int]] = [[] for _ in range(cells + 1)]
+    for n, own in groups:  # least room that is enough
+        room = next((k for k in range(n, cells + 1) if by_room[k]), 0)
+        if room:
+            b = by_room[room].pop()
+        else:
+            b, room = len(left), cells
+            left.append(cells)
+        bins[own] = b
+        left[b] = room - n
+        if left[b]:
+            by_room[left[b]].append(b)
+    return left
 
 
 def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +233,7 @@ def pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     whole = np.repeat(np.arange(len(ids)), full)
     number = np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)
     some = np.nonzero(rest)[0]
-    bins, left = pack(rest[some], capacity)
+    bins, left, _ = pack(rest[some], capacity)
     none = np.nonzero(sizes == 0)[0]
     label = f"{name}-{shard}-"
     frames = [
