@@ -7,10 +7,11 @@ pieces and one rest. Each container is thought of as cells of equal size, chosen
 that two or three lengths fill a cell: a length takes whole cells and leaves a
 remainder. All patterns of up to three remainders that fill a cell exactly are
 enumerated, their repeat counts are fitted to the histogram of remainders by
-non-negative least squares, rounded down, and topped up by largest fraction as long
-as documents are there. Filled cells, with the whole cells of their documents, are
-put side by side in containers. What no pattern takes is put where it leaves the
-least space.
+non-negative least squares and rounded; patterns that still can be made of what is
+left follow, from the longest part on. Filled cells, with the whole cells of their
+documents, are put side by side in containers. What no pattern takes is put where it
+leaves the least space; where it lacks short documents, a share of the cells is given
+back to it first.
 
 Edge cases: a document without tokens needs no container (null container and
 unused space, one row). Repeated rows of a doc_id count once. Capacities that are
@@ -77,10 +78,11 @@ def patterns(present: np.ndarray, cell: int, one_long: bool = False) -> np.ndarr
     return out[(out > cell).sum(1) <= 1] if one_long else out
 
 
-def nonnegative_fit(parts: np.ndarray, target: np.ndarray, weight: np.ndarray, steps: int = 200) -> np.ndarray:
+def nonnegative_fit(parts: np.ndarray, target: np.ndarray, weight: np.ndarray, start: np.ndarray, steps: int = 200) -> np.ndarray:
     """x >= 0 that minimises the weighted squares of (uses of each length) - target, by accelerated projected gradient.
 
-    ``parts`` has the lengths of each pattern (0 for none); ``target`` and ``weight`` go by length.
+    ``parts`` has the lengths of each pattern (0 for none); ``target`` and ``weight`` go by length. Of the many
+    solutions one near ``start`` is found.
     """
     n, width = len(target), parts.shape[1]
     square = weight * weight
@@ -95,7 +97,7 @@ def nonnegative_fit(parts: np.ndarray, target: np.ndarray, weight: np.ndarray, s
         v = (uses(v) * square)[parts].sum(1)
         norm = float(np.linalg.norm(v)) or 1.0
         v /= norm
-    x = y = np.zeros(len(parts))
+    x = y = start
     t = 1.0
     for _ in range(steps):
         nxt = np.maximum(y - ((uses(y) - target) * square)[parts].sum(1) / (norm * 1.05), 0)
@@ -107,26 +109,22 @@ def nonnegative_fit(parts: np.ndarray, target: np.ndarray, weight: np.ndarray, s
 
 def repeats(parts: np.ndarray, counts: np.ndarray, cell: int) -> np.ndarray:
     """Whole repeat counts of the patterns that together use no more of each length than there is."""
+    longest = parts.max(1)
+    # from the longest part on, as short ones fit anywhere; few parts first
+    order = np.lexsort(((parts > 0).sum(1), -longest))
+
+    def taken(wanted: np.ndarray, left: np.ndarray) -> np.ndarray:
+        times = np.zeros(len(parts), np.int64)
+        for r in order[wanted[order] > 0].tolist():
+            times[r] = take(parts[r], left, int(wanted[r]))
+        return times
+
     left = counts.copy()
-    left[0] = np.iinfo(np.int64).max // 4
-    lengths = np.arange(len(counts))
-    lengths = np.where(lengths > cell, lengths - cell, lengths)
-    x = nonnegative_fit(parts, counts.astype(float), lengths / cell)
-    times = np.floor(x).astype(np.int64)
-    for r in np.flatnonzero(times).tolist():  # the fit may overshoot here and there
-        times[r] = take(parts[r], left, int(times[r]))
-    # from the longest part on, as short ones fit anywhere; of equal ones those that the fit wants more of
-    longest = parts[np.arange(len(parts)), lengths[parts].argmax(1)]
-    order = np.lexsort((times - x, -longest, -lengths[longest]))
-    for rows in np.split(order, np.flatnonzero(np.diff(longest[order])) + 1):
-        more = True
-        while left[longest[rows[0]]] and more:
-            more = False
-            for r in rows[(left[parts[rows]] > 0).all(1)].tolist():
-                if take(parts[r], left, 1):
-                    times[r] += 1
-                    more = True
-    return times
+    left[0] = everything = np.iinfo(np.int64).max // 4
+    start = taken(np.full(len(parts), everything), left.copy())
+    x = nonnegative_fit(parts, counts.astype(float), np.arange(len(counts)) / cell, start.astype(float))
+    times = taken(np.rint(x).astype(np.int64), left)
+    return times + taken(np.full(len(parts), everything), left)  # what rounding left over
 
 
 def take(parts: np.ndarray, left: np.ndarray, most: int) -> int:

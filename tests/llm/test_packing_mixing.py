@@ -53,7 +53,7 @@ def test_patterns_place_most_and_waste_no_more_than_best_fit(sf):
             rest = many[many % capacity > 0] % capacity
             bins, left, placed = pack(rest, capacity)
             assert placed.mean() >= 0.8
-            assert len(left) <= best_fit(rest, capacity) * (1.0015 if n == 10_000 else 1.0002)
+            assert len(left) <= best_fit(rest, capacity)
 
 
 def test_all_patterns_of_up_to_three():
@@ -64,7 +64,7 @@ def test_all_patterns_of_up_to_three():
 
 
 def test_nonnegative_fit():
-    x = nonnegative_fit(np.array([[1, 0, 0], [2, 0, 0], [2, 1, 0]]), np.array([0.0, 3, 5]), np.ones(3), 400)
+    x = nonnegative_fit(np.array([[1, 0, 0], [2, 0, 0], [2, 1, 0]]), np.array([0.0, 3, 5]), np.ones(3), np.zeros(3), 400)
     uses = np.array([0, x[0] + x[2], x[1] + x[2]])
     assert (x >= 0).all() and np.allclose(uses, [0, 3, 5], atol=1e-2)
 
