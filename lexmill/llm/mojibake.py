@@ -15,7 +15,9 @@ record as affected, though they can't be restored.
 
 from __future__ import annotations
 
+import codecs
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -77,6 +79,20 @@ def to_bytes(charset: str) -> dict[int, str]:
     return m
 
 
+@cache
+def encoder(charset: str) -> object:
+    """Map of a charset's characters to its bytes."""
+    return codecs.charmap_build(table(charset))
+
+
+def as_bytes(text: str, charset: str) -> bytes | None:
+    """The text in a charset, or None if it holds other characters."""
+    try:
+        return codecs.charmap_encode(text, "strict", encoder(charset))[0]
+    except UnicodeEncodeError:
+        return None
+
+
 @cache
 def swap_table(seen_as: str, really: str) -> dict[int, str]:
     """Translation for bytes of charset ``really`` that were read as ``seen_as``."""
@@ -345,17 +361,30 @@ class Restorer:
             self.packers[lang] = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.memo: dict[str, tuple[str, str]] = {}
 
-    def unusual(self, text: str) -> bool:
-        """Whether any line of a text holds an unusual pair, looked up for all its characters at once."""
+    def unusual_at(self, text: str) -> list[int]:
+        """Where a text holds unusual pairs, looked up for all its characters at once; line ends go with all."""
         if text.isascii():
-            return False
+            return []
         codes = self.code[points(text)]
-        return not self.table[codes[:-1], codes[1:]].all()
+        return np.flatnonzero(~self.table[codes[:-1], codes[1:]]).tolist()
+
+    def unusual(self, text: str) -> bool:
+        """Whether any line of a text holds an unusual pair."""
+        return bool(self.unusual_at(text))
 
     def odd(self, text: str) -> int:
         """Unusual pairs of neighbouring characters, ASCII pairs aside."""
         return max(len(text) - 1, 0) - sum(map(self.usual.__contains__, zip(text, text[1:], strict=False)))
 
+    def odds(self, texts: list[str]) -> list[int]:
+        """``odd`` of many texts without line ends, looked up for all their characters at once."""
+        if not texts:
+            return []
+        codes = self.code[points("\n".join(texts))]
+        strange = np.concatenate([~self.table[codes[:-1], codes[1:]], [False]])
+        starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        return np.add.reduceat(strange, starts, dtype=np.int64).tolist()
+
     def bare_lead(self, text: str, lang: str) -> bool:
         """Whether a lead byte of UTF-8 stands alone, its continuation dropped as a control character."""
         if lang == "en" and BARE_ENGLISH.search(text):
@@ -385,15 +414,18 @@ class Restorer:
         stretch = self.odd_stretch(text)
         part = text[stretch[0] : stretch[1]] if stretch else text
         strange = {c for c in part if c > "\x7f"}
+        before, after = (text[: stretch[0]], text[stretch[1] :]) if stretch else ("", "")
         for c in CHARSETS:
             if not strange <= characters(c):
                 continue
+            whole, piece = as_bytes(text, c), as_bytes(part, c)
             for real in CHARSETS:
                 if real != c:
-                    swap = swap_table(c, real)
-                    yield text.translate(swap), f"{real} as {c}", STEP_COST["swap"]
+                    to = table(real)
+                    swapped = text.translate(swap_table(c, real)) if whole is None else codecs.charmap_decode(whole, "strict", to)[0]
+                    yield swapped, f"{real} as {c}", STEP_COST["swap"]
                     if stretch:
-                        yield text[: stretch[0]] + part.translate(swap) + text[stretch[1] :], f"{real} as {c}", STEP_COST["swap"]
+                        yield before + codecs.charmap_decode(piece, "strict", to)[0] + after, f"{real} as {c}", STEP_COST["swap"]
 
     def sentence(self, text: str) -> tuple[str, str]:
         """Restored sentence and its chain ("" if left unchanged).
@@ -413,11 +445,10 @@ class Restorer:
                     for c, step, price in steps(t):
                         if c not in seen and "￿" not in c:
                             seen.add(c)
-                            words = steps == self.utf8_steps or new_words(c, text)
-                            fresh.append((self.odd(c), len(c), paid + price, c, f"{path} < {step}" if path else step, words))
-            fresh.sort()
+                            fresh.append((len(c), paid + price, c, f"{path} < {step}" if path else step, steps == self.utf8_steps))
+            fresh = sorted((odd, *f) for odd, f in zip(self.odds([f[2] for f in fresh]), fresh, strict=True))
             for odd, _, paid, c, path, words in fresh:
-                if words and ESCAPE * odd + paid + FRAME < cost:
+                if ESCAPE * odd + paid + FRAME < cost and (words or new_words(c, text)):
                     n = self.length(c, odd) + paid
                     if n < cost:
                         best, chain, cost, better = c, path, n, True
@@ -444,18 +475,24 @@ class Restorer:
         lost_sign = "?" in text or "�" in text
         if text.isascii() and not lost_sign:
             return text, "", False
-        odd = set(zip(text, text[1:], strict=False)) - self.usual if self.unusual(text) else set()
-        if not odd and not (lost_sign and LOST.search(text)):
+        spots = self.unusual_at(text)
+        if not spots and not (lost_sign and LOST.search(text)):
             return text, "", False
         lang, out, chains, known, lost = language(text), [], [], [], False
-        strange = lambda t: not odd.isdisjoint(zip(t, t[1:], strict=False))
         pieces = SENTENCE.split(text)
-        cores = [without_mentions(p) if p and (lost_sign or strange(p)) else p for p in pieces]
-        oddest = [c for c in cores if c and strange(c)]
+        cores, strange, at = [], [], 0
+        for p in pieces:  # a piece is strange if an unusual pair lies within it
+            k = bisect_left(spots, at)
+            within = k < len(spots) and spots[k] < at + len(p) - 1
+            core = without_mentions(p) if within or (p and lost_sign) else p
+            cores.append(core)
+            strange.append(within if core == p else bool(self.odds([core])[0]))
+            at += len(p)
+        oddest = [c for c, s in zip(cores, strange, strict=True) if s]
         if len(oddest) > 2:  # the oddest piece tells most about how the text was misread
-            known += [c for c in [self.sentence(max(oddest, key=lambda c: self.odd(c[:600])))[1]] if c]
-        for piece, core in zip(pieces, cores, strict=True):
-            if oddest and core and strange(core):
+            known += [c for c in [self.sentence(oddest[int(np.argmax(self.odds(oddest)))])[1]] if c]
+        for piece, core, within in zip(pieces, cores, strange, strict=True):
+            if within:
                 fixed, chain = self.as_before(core, known) or self.sentence(core)
                 if chain and core is not piece:
                     fixed, chain = self.sentence(piece)
