@@ -113,3 +113,20 @@ def test_mixing_edges(spark):
 def test_token_sizes(spark):
     docs = spark.createDataFrame([(1, "a", "Hello world", "x"), (2, "a", None, "x"), (3, None, "", "x"), (4, "a", "word " * 100_000, "x")], "doc_id bigint, source string, text string, n_tokens string")
     assert {r.doc_id: r.n_tokens for r in token_sizes(docs).collect()} == {1: 2, 2: 0, 3: 0, 4: 100_001}
+
+
+def test_spellings_of_one_target_are_added_up(spark):
+    targets = spark.createDataFrame([("m", "Big one", 0.25, 3), ("m", "big-one", 0.25, 2), ("m", "small", 0.5, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    docs = sizes_of(spark, [(i, "big_one" if i < 100 else "small", 50) for i in range(200)])
+    got = {r.source: r for r in shares(draw(docs, targets), targets).collect()}
+    assert set(got) == {"big-one", "small"} and abs(got["big-one"].actual_share - 0.5) < 0.01 and got["big-one"].target_share == 0.5 and got["big-one"].longest == 50
+
+
+def test_shares_are_off_by_less_than_the_longest_document(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{i % 3}", int(n)) for i, n in enumerate(rng.lognormal(5, 1.2, 900).astype(int) + 1)]
+    targets = spark.createDataFrame([("m", f"s{k}", w, 4) for k, w in enumerate((0.2, 0.3, 0.5))], "mix_name string, source string, target_share double, max_repeats int")
+    for seed in range(3):
+        got = shares(draw(sizes_of(spark, rows), targets, seed), targets).collect()
+        whole = sum(r.tokens for r in got)
+        assert all(abs(r.tokens - r.target_share * whole) <= 2 * max(x.longest for x in got) for r in got)
