@@ -18,7 +18,7 @@ ENTITIES = {
     "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b",
 }
 # Service header tags at the start of chunk lines.
-HEADER_LINE = r"^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|VISION_FILE)\b"
+HEADER_LINE = r"^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|SOURCE_TITLE|VISION_FILE|Файл)\b"
 # Intents in order of priority with their cues.
 INTENTS = {
     "compare": ["сравн", "сравнен", "diff", "различ", "разниц", "было стало", "было/стало", "что изменил", "по сравнению", "versus", " vs ", "сопостав"],

@@ -1,102 +1,86 @@
-"""Texts into chunks under a token budget, and packing of whole units."""
+"""Texts into chunks under a token budget, as expressions over arrays of segments (no Python per row)."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BREAK = re.compile(r"\n\s*\n|(?=\n#{1,6}\s)")
-SENTENCE = re.compile(r"(?<=[.!?])\s+")
+from lexmill.functions.text import count_tokens
+
+#: Most tokens of a segment before it is cut into sentences.
+SEGMENT_TOKENS = 8000
+#: Splits a text into sentences: a mark put after each sentence end.
+MARK = "\x1f"
 
 
 def estimate(text: str) -> int:
-    """Offline estimate of tokens: a quarter of the letters, at least one."""
+    """Offline estimate of tokens: a quarter of the letters, at least one; blank texts have none."""
     return max(1, len(text) // 4) if text.strip() else 0
 
 
-def pack(sizes: Sequence[int], budget: int) -> list[int]:
-    """Group number of each unit: units in order fill groups up to the budget; a larger one is alone."""
-    groups, group, fill = [], 0, 0
-    for n in sizes:
-        if fill and (fill + n > budget):
-            group, fill = group + 1, 0
-        groups.append(group)
-        fill += n
-    return groups
+def bounds(sizes: Column, budget: int, overlap: bool = False) -> Column:
+    """Stretches (``lo``, ``hi``) of an array of sizes: whole units in order, filled up to the budget.
 
-
-def packed_groups(sizes: Column, budget: int) -> Column:
-    """Number of groups that ``pack`` makes of an array of sizes (whole units, in order)."""
-    state = F.struct(F.lit(0).cast("bigint").alias("groups"), F.lit(0).cast("bigint").alias("fill"))
+    A larger unit is alone. With ``overlap`` a stretch begins with the last unit of the
+    one before it, unless either is such a larger unit. Stretches are half open.
+    """
+    state = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("done"), F.lit(0).alias("lo"), F.lit(0).alias("at"), F.lit(0).cast("bigint").alias("fill"), F.lit(0).cast("bigint").alias("last"))
 
     def step(s: Column, n: Column) -> Column:
-        new = (s["groups"] == 0) | ((s["fill"] > 0) & (s["fill"] + n > budget))
-        return F.struct(F.when(new, s["groups"] + 1).otherwise(s["groups"]).alias("groups"), F.when(new, n.cast("bigint")).otherwise(s["fill"] + n).alias("fill"))
+        n = n.cast("bigint")
+        closed = F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["at"].alias("hi"))))
+        some, large, again = s["at"] > s["lo"], n > budget, F.lit(overlap)
+        full = some & ((s["fill"] + n) > budget)
+        done = F.when(large, F.concat(F.when(some, closed).otherwise(s["done"]), F.array(F.struct(s["at"].alias("lo"), (s["at"] + 1).alias("hi"))))).when(full, closed).otherwise(s["done"])
+        lo = F.when(large, s["at"] + 1).when(full, s["at"] - again.cast("int")).otherwise(s["lo"])
+        fill = F.when(large, F.lit(0).cast("bigint")).when(full & again, s["last"] + n).when(full, n).otherwise(s["fill"] + n)
+        return F.struct(done.alias("done"), lo.alias("lo"), (s["at"] + 1).alias("at"), fill.alias("fill"), n.alias("last"))
 
-    return F.aggregate(sizes, state, step)["groups"]
+    end = lambda s: F.when(s["at"] > s["lo"], F.concat(s["done"], F.array(F.struct(s["lo"].alias("lo"), s["at"].alias("hi"))))).otherwise(s["done"])
+    return F.aggregate(sizes, state, step, end)
 
 
-def segments(text: str, budget: int) -> list[str]:
-    """Paragraphs and sections of a text; those above the budget as runs of sentences."""
-    limit, out = min(8000, budget), []
-    for part in filter(None, (p.strip() for p in BREAK.split(text))):
-        if estimate(part) <= limit:
-            out.append(part)
-            continue
-        sentences = SENTENCE.split(part)
-        at = pack([estimate(s) for s in sentences], limit)
-        out += [" ".join(s for s, g in zip(sentences, at, strict=True) if g == k) for k in range(at[-1] + 1)]
-    return out
+def packed(units: Column, budget: int, separator: str, overlap: bool = False) -> Column:
+    """Whole units joined into runs under the budget."""
+    return F.transform(bounds(F.transform(units, count_tokens), budget, overlap), lambda b: F.array_join(F.slice(units, b["lo"] + 1, b["hi"] - b["lo"]), separator))
+
+
+def packed_groups(sizes: Column, budget: int) -> Column:
+    """Number of runs that whole units of such sizes make."""
+    return F.size(bounds(sizes, budget))
+
 
+def segments(text: Column, budget: int) -> Column:
+    """Paragraphs and sections (from heading to heading) of a text; very long ones as runs of sentences."""
+    limit = min(SEGMENT_TOKENS, budget)
+    apart = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n(#{1,6}\s)", "\n\n$1")
+    parts = F.filter(F.transform(F.split(apart, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    sentences = lambda p: F.split(F.regexp_replace(p, r"([.!?])\s+", "$1" + MARK), MARK)
+    return F.flatten(F.transform(parts, lambda p: F.when(count_tokens(p) <= limit, F.array(p)).otherwise(packed(sentences(p), limit, " "))))
 
-def windows(text: str, budget: int, overlap: int) -> list[str]:
+
+def windows(text: Column, budget: int, overlap: int) -> Column:
     """Windows of ``budget`` tokens (four letters each), each starting ``budget - overlap`` after the last."""
     size, step = budget * 4, max(1, budget - overlap) * 4
-    return [text[a : a + size] for a in range(0, max(1, len(text) - max(0, size - step)), step)] if text else []
-
-
-def semantic_chunks(text: str | None, budget: int = 800, overlap: int = 100) -> list[str]:
-    """Chunks of whole segments under the budget, the last segment repeated at the next chunk's start."""
-    if not text or not text.strip():
-        return []
-    chunks, now, fill = [], [], 0
-    for seg in segments(text, budget):
-        n = estimate(seg)
-        if n > budget:
-            if now:
-                chunks.append("\n\n".join(now))
-            chunks += windows(seg, budget, overlap)
-            now, fill = [], 0
-            continue
-        if now and fill + n > budget:
-            chunks.append("\n\n".join(now))
-            last = now[-1]
-            now, fill = ([last], estimate(last)) if overlap > 0 else ([], 0)
-        now.append(seg)
-        fill += n
-    return [*chunks, "\n\n".join(now)] if now else chunks
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(text) - F.lit(max(0, size - step)) - 1), F.lit(step))
+    return F.transform(starts, lambda a: F.substring(text, a + 1, F.lit(size)))
 
 
-def chunk_documents(documents: DataFrame, budget: int = 800, overlap: int = 100) -> DataFrame:
-    """``doc_id, chunk_index, text`` of every document (``doc_id, text``)."""
+def semantic_chunks(text: Column, budget: int = 800, overlap: int = 100) -> Column:
+    """Chunks of whole segments under the budget; with overlap each begins with the last segment of the one before.
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, i, c) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for i, c in enumerate(semantic_chunks(t, budget, overlap))]
-            if rows:
-                a, i, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(i, pa.int32()), pa.array(c, pa.string())], names=["doc_id", "chunk_index", "text"])
+    A segment that is longer than the budget gives windows of its own.
+    """
+    chunks = packed(segments(text, budget), budget, "\n\n", overlap > 0)
+    # two overlapping segments may pass the budget together; only a chunk of one segment is cut
+    return F.flatten(F.transform(chunks, lambda c: F.when((count_tokens(c) > budget) & ~F.contains(c, F.lit("\n\n")), windows(c, budget, overlap)).otherwise(F.array(c))))
 
-    return documents.select("doc_id", "text").mapInArrow(apply, "doc_id bigint, chunk_index int, text string")
+
+def chunk_documents(documents: DataFrame, budget: int = 800, overlap: int = 100) -> DataFrame:
+    """``doc_id, chunk_index, text`` of every document (``doc_id, text``)."""
+    return documents.select("doc_id", F.posexplode(semantic_chunks(F.col("text"), budget, overlap)).alias("chunk_index", "text"))
 
 
 def window_chunks(documents: DataFrame, budget: int, overlap: int) -> DataFrame:
-    """``windows`` as expressions: ``doc_id, chunk_index, text``."""
-    size, step = budget * 4, max(1, budget - overlap) * 4
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - F.lit(max(0, size - step)) - 1), F.lit(step))
-    return documents.filter(n > 0).select("doc_id", F.posexplode(starts).alias("chunk_index", "at"), "text").select("doc_id", "chunk_index", F.substring(F.col("text"), F.col("at") + 1, F.lit(size)).alias("text"))
+    """``windows`` of every document: ``doc_id, chunk_index, text``."""
+    return documents.filter(F.length("text") > 0).select("doc_id", F.posexplode(windows(F.col("text"), budget, overlap)).alias("chunk_index", "text"))

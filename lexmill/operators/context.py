@@ -1,70 +1,36 @@
-"""Choice of contexts for an answer: budget, near-duplicates, cap per source, numbering."""
+"""Choice of contexts for an answer as windows over bounded rankings: near-duplicates, shares of sources, budget."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from dataclasses import dataclass
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from lexmill.functions.text import count_tokens, strip_headers
 
-from lexmill.operators.chunking import estimate
 
+def contexts(ranked: DataFrame, max_tokens: int = 8000, max_items: int = 12, char_cap: int = 6000, per_source: int = 5) -> DataFrame:
+    """``qid, n, chunk_id, source_path, score`` of the contexts chosen from ``qid, chunk_id, source_path, text, score, rank``.
 
-@dataclass
-class Hit:
-    chunk_id: str
-    source_path: str
-    text: str
-    score: float
-
-
-def select_contexts(hits: Iterable[Hit], max_tokens: int = 8000, max_items: int = 12, char_cap: int = 6000, per_source: int = 5) -> list[Hit]:
-    """Hits kept in order of rank, numbered by their place.
-
-    Blank and repeated texts (first 240 letters, spaces and case aside) are skipped;
-    a source gives at most ``per_source`` while others have some; a hit over the
-    budget ends the choice; places left over go to hits held back by the cap.
+    Rankings are short (candidates of one question). Texts are cut to ``char_cap``
+    letters. Of texts that agree in their first 240 letters (service lines, spaces and
+    case aside) the best ranked stays, blank ones go. Each source gives its best
+    ``per_source`` first: these are taken by rank until one is over the budget or
+    ``max_items`` are reached. Then the others ranked above that one are taken in the
+    same way. The first context is taken at any size.
     """
-    kept: list[Hit] = []
-    held: list[Hit] = []
-    seen, used, per = set(), 0, {}
-    stopped = False
-
-    def offer(h: Hit, capped: bool) -> bool:
-        nonlocal used
-        key = " ".join(h.text.split()).lower()[:240]
-        if not key or key in seen:
-            return True
-        if capped and per.get(h.source_path, 0) >= per_source:
-            held.append(h)
-            return True
-        text = h.text[:char_cap]
-        if len(kept) >= max_items or (kept and used + estimate(text) > max_tokens):
-            return False
-        seen.add(key)
-        per[h.source_path] = per.get(h.source_path, 0) + 1
-        used += estimate(text)
-        kept.append(Hit(h.chunk_id, h.source_path, text, h.score))
-        return True
-
-    for h in hits:
-        if not offer(h, True):
-            stopped = True
-            break
-    if not stopped:
-        for h in list(held):
-            if not offer(h, False):
-                break
-    return kept
-
-
-def contexts(ranked: DataFrame, **limits) -> DataFrame:
-    """Contexts of each query of ``qid, chunk_id, source_path, text, score, rank`` (bounded rankings), numbered from 1."""
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("rank")
-        kept = select_contexts([Hit(r.chunk_id, r.source_path or "", r.text or "", r.score) for r in rows.itertuples()], **limits)
-        return pd.DataFrame({"qid": [pdf.qid.iloc[0]] * len(kept), "n": range(1, len(kept) + 1), "chunk_id": [h.chunk_id for h in kept], "source_path": [h.source_path for h in kept], "score": [h.score for h in kept]})
-
-    return ranked.groupBy("qid").applyInPandas(choose, "qid bigint, n int, chunk_id string, source_path string, score double")
+    text = F.substring(F.coalesce("text", F.lit("")), 1, char_cap)
+    key = F.substring(F.lower(F.trim(F.regexp_replace(strip_headers(text), r"\s+", " "))), 1, 240)
+    hits = ranked.select("qid", "chunk_id", F.coalesce("source_path", F.lit("")).alias("source_path"), "score", "rank", count_tokens(text).alias("tokens"), key.alias("key")).filter("key <> ''")
+    by_rank = lambda *keys: Window.partitionBy("qid", *keys).orderBy("rank", "chunk_id")
+    hits = hits.withColumn("again", F.row_number().over(by_rank("key"))).filter("again = 1")
+    hits = hits.withColumn("held", F.row_number().over(by_rank("source_path")) > per_source)
+    # running sums within each round; a round is over at its first hit that doesn't fit
+    so_far = by_rank("held").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("sum", F.sum("tokens").over(so_far)).withColumn("count", F.count(F.lit(1)).over(so_far))
+    fits = ~F.col("held") & (((F.col("sum") <= max_tokens) | (F.col("count") == 1)) & (F.col("count") <= max_items))
+    whole = Window.partitionBy("qid")
+    hits = hits.withColumn("first_round", fits)
+    hits = hits.withColumn("used", F.sum(F.when(fits, F.col("tokens"))).over(whole)).withColumn("taken", F.count(F.when(fits, 1)).over(whole)).withColumn("stop", F.min(F.when(~F.col("held") & ~fits, F.col("rank"))).over(whole))
+    second = F.col("held") & (F.col("stop").isNull() | (F.col("rank") < F.col("stop"))) & (F.col("used") + F.col("sum") <= max_tokens) & (F.col("taken") + F.col("count") <= max_items)
+    chosen = hits.filter(F.col("first_round") | second)
+    return chosen.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("held", "rank", "chunk_id")).alias("n"), "chunk_id", "source_path", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import planning as P
+from lexmill.operators import query_plan as Q
 from lexmill.operators.snapshots import neighbours, normal_path
 from lexmill.session import table
 
@@ -75,6 +76,13 @@ def run_queries(spark, root):
     return r.select("run_id", T.query_language(F.col("query_text")).alias("language"), found[0].alias("intent"), F.array_join(found, ",").alias("all_intents"))
 
 
+def run_plans(spark, root):
+    """Grouping, keys, style, fields and terms planned for each run's query."""
+    r = table(spark, root, "runs").filter("query_text is not null").select("run_id", "query_text").distinct().withColumn("p", Q.plan(F.col("query_text")))
+    join = lambda c: F.array_join(f"p.{c}", ",").alias(c)
+    return r.select("run_id", "p.group_by", "p.axis", join("dedup_keys"), "p.style", join("fields"), join("key_terms"), "p.lexical_query")
+
+
 def run_entities(spark, root):
     """Entities in run queries by kind."""
     r = table(spark, root, "runs").select("run_id", "query_text").distinct()
@@ -160,8 +168,10 @@ def host_pages(spark, root):
 
 def table_batches(spark, root):
     """Rows per batch of a table under a token budget, from the mean length of its rows."""
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")])
-    t = table(spark, root, "lineitem").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(line)).cast("bigint").alias("n_chars"))
+    rows = table(spark, root, "lineitem")
+    plain = [F.date_format(c, "yyyy-MM-dd") if t in ("date", "timestamp", "timestamp_ntz") else F.round(F.col(c) * 100).cast("bigint").cast("string") if t in ("double", "float") or t.startswith("decimal") else F.col(c).cast("string") for c, t in rows.dtypes]
+    line = F.concat_ws("\t", *plain)
+    t = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(line)).cast("bigint").alias("n_chars"))
     per = F.greatest(F.lit(1), F.floor(6000 / F.greatest(F.lit(1.0), F.col("n_chars") / F.col("n_rows") / 3)))
     return t.select("n_rows", "n_chars", per.cast("bigint").alias("rows_per_batch"), F.ceil(F.col("n_rows") / per).cast("bigint").alias("n_batches"))
 
@@ -170,6 +180,12 @@ def _q(s):
     return s.replace("'", "''")
 
 
+_SMALL = ", ".join(f"'{w}'" for w in Q.SMALL_WORDS)
+_BY = "[ .,]+"
+_KINDS = {"email": r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b", "url": r"\bhttps?://[^\s)]+", "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "id": r"\b[A-Za-z]\w*(?:-\w+){1,5}\b", "number": r"\b\d[\d.,]{2,}\b", "date": r"\b\d{4}-\d{2}-\d{2}\b|\b\d{2}\.\d{2}\.\d{4}\b"}
+_ENTS = ", ".join(f"list_slice(list_sort(list_distinct({'list_filter(' if k == 'id' else ''}regexp_extract_all(t, '{p}'){', lambda e: regexp_matches(e, chr(92) || chr(100)))' if k == 'id' else ''})), 1, 20)" for k, p in _KINDS.items())
+_CASE = lambda col, table: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v if isinstance(v, str) else ','.join(v)}'" for k, v in table.items()) + " END"
+_AXIS = "CASE WHEN by_word IS NULL THEN NULL " + " ".join("WHEN " + " OR ".join(f"contains(lower(by_word), '{w}')" for w in words) + f" THEN '{a}'" for a, words in Q.AXES.items()) + " ELSE 'category' END"
 _INTENT = "list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{_q(c)}')" for c in cues) + f" THEN '{name}' END" for name, cues in T.INTENTS.items()) + "], lambda x: x IS NOT NULL)"
 _HITS = " + ".join(f"CAST(contains(lower(left(coalesce(text, ''), 4096)), '{t}') AS INT)" for t in TERMS)
 _NAMED = " + ".join(f"CAST(contains(lower(concat_ws('/', source, title)), '{t}') AS INT)" for t in TERMS)
@@ -180,7 +196,7 @@ _HEAD = "^(?:\\[[^\\]]{8,25}\\] |\\d{1,2}[./]\\d{1,2}[./]\\d{2,4}, \\d{1,2}:\\d{
 _MD = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^```.*$', '', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}#{1,6}\\s+', '', 'g'), '(?m)^\\s*[-*+]\\s+', '• ', 'g'), '(\\*\\*|__|`)', '', 'g'), ' ')"
 _PARTS = "list_filter(string_split(replace(source_path, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.') AND NOT regexp_matches(p, '^[A-Za-z]:$'))"
 
-QUERIES = {f.__name__: f for f in (file_relevance, corpus_manifest, corpus_plan, scout_filter, chunk_dedup, context_dedup, chunk_ids, chunk_token_check, chunk_lines, run_queries, run_entities, run_previous, run_list, job_progress, item_keys, new_documents, judge_votes, chat_messages, plain_markdown, path_labels, host_pages, table_batches)}
+QUERIES = {f.__name__: f for f in (file_relevance, corpus_manifest, corpus_plan, scout_filter, chunk_dedup, context_dedup, chunk_ids, chunk_token_check, chunk_lines, run_queries, run_plans, run_entities, run_previous, run_list, job_progress, item_keys, new_documents, judge_votes, chat_messages, plain_markdown, path_labels, host_pages, table_batches)}
 SQL = {
     "file_relevance": f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.25 + 0.15 * ({_NAMED}) + least(0.45, 0.12 * ({_HITS})))), 6) END AS relevance FROM documents",
     "corpus_manifest": "SELECT coalesce(lang, 'und') AS lang, count(*) AS n_files, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
@@ -196,6 +212,16 @@ SQL = {
     "chunk_lines": "SELECT DISTINCT chunk_id, length(text) - length(replace(text, chr(10), '')) + 1 AS n_lines, coalesce(page, length(text) - length(replace(text, chr(12), '')) + 1) AS page_no, length(text) AS n_chars FROM document_chunks WHERE text IS NOT NULL",
     "run_queries": f"""WITH r AS (SELECT DISTINCT run_id, query_text, lower(query_text) AS low FROM runs WHERE query_text IS NOT NULL), i AS (SELECT *, {_INTENT} AS f FROM r)
       SELECT run_id, CASE WHEN regexp_matches(query_text, '[А-Яа-яЁё]') THEN 'ru' ELSE 'en' END AS language, coalesce(f[1], 'analyze') AS intent, CASE WHEN len(f) = 0 THEN 'analyze' ELSE array_to_string(f, ',') END AS all_intents FROM i""",
+    "run_plans": rf"""WITH r AS (SELECT DISTINCT run_id, query_text AS t, lower(query_text) AS low FROM runs WHERE query_text IS NOT NULL),
+      w AS (SELECT *, coalesce({_INTENT}[1], 'analyze') AS intent, regexp_replace(regexp_extract(t, '(?i){Q.GROUP_BY}', 1), '^[ .,]+|[ .,]+$', '', 'g') AS word FROM r),
+      g AS (SELECT *, CASE WHEN length(word) >= 3 AND lower(word) NOT IN ({_SMALL}) THEN word END AS by_word FROM w), a AS (SELECT *, {_AXIS} AS axis FROM g),
+      p AS (SELECT *, list_filter(flatten([list_transform(regexp_extract_all(t, '{_q(Q.QUOTED)}', 1), lambda x: trim(x, ' ')), {_ENTS},
+        list_filter(list_transform(regexp_extract_all(t, '[A-Za-zА-Яа-яЁё][\pL\pN_.\-/@]{{2,}}'), lambda x: regexp_replace(x, '[.,/]+$', '')), lambda x: regexp_matches(x, '[._/@-]|\pN')), regexp_extract_all(t, '[A-Za-zА-Яа-яЁё]{{4,}}')]),
+        lambda x: length(x) >= 3 AND lower(x) NOT IN ({_SMALL})) AS pool, list_transform(regexp_extract_all(t, '{Q.EXACT}'), lambda x: regexp_replace(x, '^["«»]+|["«»]+$', '', 'g')) AS exact FROM a),
+      k AS (SELECT *, list_transform(pool, lambda x: lower(x)) AS lows FROM p)
+      SELECT run_id, by_word AS group_by, axis, CASE WHEN axis IS NOT NULL THEN axis || ',item' WHEN intent IN ('compare', 'prioritize') THEN 'item,source' ELSE 'category,item' END AS dedup_keys,
+        {_CASE('intent', Q.STYLES)} AS style, {_CASE('intent', Q.FIELDS)} AS fields, array_to_string(list_slice(list_filter(pool, lambda x, i: list_position(lows, lower(x)) = i), 1, 24), ',') AS key_terms,
+        CASE WHEN len(exact) > 0 THEN array_to_string(exact, ' ') ELSE t END AS lexical_query FROM k""",
     "run_entities": "WITH r AS (SELECT DISTINCT run_id, query_text FROM runs) " + " UNION ALL ".join(f"SELECT run_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(coalesce(query_text, ''), '{T.ENTITIES[k]}'))) AS entity FROM r" for k in ("email", "url", "ip", "date")),
     "run_previous": f"WITH {_PLACE} SELECT run_id, lag(run_id) OVER (PARTITION BY place ORDER BY made, run_id) AS previous_run_id FROM place",
     "run_list": """WITH r AS (SELECT run_id, max(created_at) AS created_at FROM runs WHERE run_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1 ORDER BY created_at DESC, run_id LIMIT 20), n AS (SELECT run_id, count(DISTINCT item_key) AS n_items FROM run_items GROUP BY 1)
@@ -213,6 +239,7 @@ SQL = {
     "path_labels": f"""WITH p AS (SELECT DISTINCT source_path FROM document_chunks WHERE source_path IS NOT NULL), q AS (SELECT source_path, list_slice({_PARTS}, 1, len({_PARTS}) - 1) AS l FROM p)
       SELECT source_path, array_to_string(list_slice(l, greatest(1, len(l) - 5), len(l)), '/') AS labels, upper(regexp_extract(source_path, '\\.([A-Za-z0-9]{{1,8}})$', 1)) AS format FROM q""",
     "host_pages": "SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) AS host, count(DISTINCT page_id) AS n_pages FROM fetched_pages GROUP BY 1",
-    "table_batches": """WITH t AS (SELECT count(*) AS n_rows, CAST(sum(length(concat_ws(chr(9), l_orderkey, l_linenumber, l_returnflag, l_linestatus))) AS BIGINT) AS n_chars FROM lineitem),
+    "table_batches": """WITH t AS (SELECT count(*) AS n_rows, CAST(sum(length(concat_ws(chr(9), l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
+        CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')))) AS BIGINT) AS n_chars FROM lineitem),
       p AS (SELECT *, CAST(greatest(1, floor(6000 / greatest(1.0, n_chars / n_rows / 3))) AS BIGINT) AS rows_per_batch FROM t) SELECT *, CAST(ceil(n_rows / rows_per_batch) AS BIGINT) AS n_batches FROM p""",
 }

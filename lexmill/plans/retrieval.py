@@ -79,7 +79,7 @@ def answer_citations(spark, root):
 
 _STOP = "('the','and','for','with','from','this','that','по','на','из','при','или','как','это','для')"
 _TOK = f"list_filter(regexp_extract_all(lower(coalesce(%s, '')), '{TOKEN}'), lambda t: length(t) >= 2 AND t NOT IN {_STOP})"
-_BM25 = f"""WITH tok AS (SELECT doc_id AS id, {_TOK % 'text'} AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1e-9) AS avgdl FROM tok),
+BM25_SQL = f"""WITH tok AS (SELECT doc_id AS id, {_TOK % 'text'} AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1e-9) AS avgdl FROM tok),
 post AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, unnest(ts) AS term, len(ts) AS dl FROM tok) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT doc_id AS qid, unnest({_TOK % 'title'}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY 1, 2),
 bm AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN df USING (term) JOIN post USING (term), n GROUP BY 1, 2)"""
@@ -91,7 +91,7 @@ def _top(name, k):
     return f"(SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM {name} QUALIFY rank <= {k})"
 
 
-_BOTH = _BM25 + ", " + _VEC + f", a AS {_top('bm', 50)}, b AS {_top('vs', 50)}"
+_BOTH = BM25_SQL + ", " + _VEC + f", a AS {_top('bm', 50)}, b AS {_top('vs', 50)}"
 _FUSED = _BOTH + f""", p AS (SELECT qid, id, 1 / (60 + rank) + score / max(score) OVER (PARTITION BY qid) AS part FROM a
   UNION ALL SELECT qid, id, 1 / (60 + rank) + CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN score / max(score) OVER (PARTITION BY qid) ELSE 0 END FROM b),
   f AS (SELECT qid, id, round(sum(part), 6) AS score FROM p GROUP BY 1, 2), t AS {_top('f', 10)}"""
@@ -99,7 +99,7 @@ _FUSED = _BOTH + f""", p AS (SELECT qid, id, 1 / (60 + rank) + score / max(score
 QUERIES = {f.__name__: f for f in (bm25_terms, bm25_search, vector_search, hybrid_rrf, hybrid_scores, chunk_neighbours, retrieval_metrics, answer_citations)}
 SQL = {
     "bm25_terms": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK % 'text'})) AS term FROM documents) GROUP BY 1",
-    "bm25_search": _BM25 + f" SELECT * FROM {_top('(SELECT * FROM bm WHERE score > 0)', 10)}",
+    "bm25_search": BM25_SQL + f" SELECT * FROM {_top('(SELECT * FROM bm WHERE score > 0)', 10)}",
     "vector_search": "WITH " + _VEC + f" SELECT * FROM {_top('vs', 10)}",
     "hybrid_rrf": _BOTH + f", f AS (SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) SELECT * FROM {_top('f', 10)}",
     "hybrid_scores": _FUSED + " SELECT t.* FROM t JOIN (SELECT qid, score AS best FROM t WHERE rank = 1) USING (qid) WHERE score >= 0.15 * best",

@@ -10,6 +10,7 @@ from lexmill.operators.context import contexts
 from lexmill.operators.lexical import fit, search
 from lexmill.operators.models import embed_chunks, map_chunks
 from lexmill.operators.vectors import nearest
+from lexmill.plans.retrieval import BM25_SQL
 from lexmill.session import table
 from lexmill.sources.records import record_rows
 
@@ -77,7 +78,44 @@ QUERIES = {f.__name__: f for f in (window_chunks, packed_lines, semantic_chunks,
 # the matcher's word borders are ASCII ones, so the border before a compound is spelled out
 _COMPOUND = r"(?:^|[^\pL\pN_])([A-Za-z0-9]+(?:[._\-/@][A-Za-z0-9]+)+)"
 _V = " , ".join([*(f"regexp_extract_all(a, '{p}')" for p in A.VERIFIABLE[:-1]), f"regexp_extract_all(a, '{_COMPOUND}', 1)"])
+_TOKENS = "CASE WHEN trim({0}, ' ') = '' THEN 0 ELSE greatest(1, length({0}) // 4) END"
+_LINES = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, i, {_TOKENS.format('x')} AS n FROM l),
+  r AS (SELECT doc_id, i, 1 AS g, CASE WHEN n > 200 THEN 0 ELSE n END AS fill, n > 200 AS alone FROM u WHERE i = 1
+    UNION ALL SELECT u.doc_id, u.i, CASE WHEN u.n > 200 OR r.alone OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 THEN 0 WHEN r.alone OR r.fill + u.n > 200 THEN u.n ELSE r.fill + u.n END, u.n > 200
+    FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1)
+  SELECT doc_id, CAST(max(g) AS INT) AS n_groups FROM r GROUP BY 1"""
+_CHUNKS = rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n(#{{1,6}}\s)', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+  part AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS p FROM p), sized AS (SELECT *, {_TOKENS.format('x')} AS n FROM part),
+  cut AS (SELECT doc_id, p, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM sized WHERE n > 200),
+  st AS (SELECT doc_id, p, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM cut), sn AS (SELECT *, {_TOKENS.format('x')} AS n FROM st),
+  r1 AS (SELECT doc_id, p, i, x, 1 AS g, CASE WHEN n > 200 THEN 0 ELSE n END AS fill, n > 200 AS alone FROM sn WHERE i = 1
+    UNION ALL SELECT u.doc_id, u.p, u.i, u.x, CASE WHEN u.n > 200 OR r.alone OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 THEN 0 WHEN r.alone OR r.fill + u.n > 200 THEN u.n ELSE r.fill + u.n END, u.n > 200
+    FROM r1 r JOIN sn u ON u.doc_id = r.doc_id AND u.p = r.p AND u.i = r.i + 1),
+  seg AS (SELECT doc_id, p, 0 AS g, x FROM sized WHERE n <= 200 UNION ALL SELECT doc_id, p, g, string_agg(x, ' ' ORDER BY i) FROM r1 GROUP BY 1, 2, 3),
+  u AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY p, g) AS i, {_TOKENS.format('x')} AS n FROM seg),
+  r2 AS (SELECT doc_id, i, n, 1 AS g, i AS lo, CASE WHEN n > 200 THEN 0 ELSE n END AS fill FROM u WHERE i = 1
+    UNION ALL SELECT u.doc_id, u.i, u.n, CASE WHEN u.n > 200 OR r.n > 200 OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 OR r.n > 200 THEN u.i WHEN r.fill + u.n > 200 THEN r.i ELSE r.lo END,
+      CASE WHEN u.n > 200 THEN 0 WHEN r.n > 200 THEN u.n WHEN r.fill + u.n > 200 THEN r.n + u.n ELSE r.fill + u.n END FROM r2 r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1),
+  b AS (SELECT doc_id, g, min(lo) AS lo, max(i) AS hi FROM r2 GROUP BY 1, 2), l AS (SELECT doc_id, list(x ORDER BY i) AS xs FROM u GROUP BY 1),
+  c AS (SELECT doc_id, g, lo = hi AS single, array_to_string(list_slice(xs, lo, hi), chr(10) || chr(10)) AS x FROM b JOIN l USING (doc_id)),
+  w AS (SELECT doc_id, g, x, 0 AS a FROM c WHERE NOT (single AND length(x) // 4 > 200) UNION ALL SELECT doc_id, g, substring(x, a + 1, 800), a FROM (SELECT doc_id, g, x, unnest(range(0, greatest(0, length(x) - 200 - 1) + 1, 600)) AS a FROM c WHERE single AND length(x) // 4 > 200))
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, a) - 1 AS INT) AS chunk_index, md5(x) AS h, length(x) AS n_chars FROM w"""
+_HEADERS = r"'^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|SOURCE_TITLE|VISION_FILE|Файл)\b'"
+_CONTEXTS = BM25_SQL + rf""", t AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 40),
+  h AS (SELECT qid, CAST(id AS VARCHAR) AS chunk_id, coalesce(source, '') AS source_path, score, rank, left(coalesce(text, ''), 6000) AS x FROM t JOIN documents ON doc_id = id),
+  k AS (SELECT * EXCLUDE (x), {_TOKENS.format('x')} AS tokens, left(lower(trim(regexp_replace(array_to_string(list_filter(string_split(x, chr(10)), lambda y: NOT regexp_matches(y, {_HEADERS})), chr(10)), '\s+', ' ', 'g'), ' ')), 240) AS key FROM h),
+  d AS (SELECT * FROM k WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY qid, key ORDER BY rank) = 1),
+  e AS (SELECT *, row_number() OVER (PARTITION BY qid, source_path ORDER BY rank) > 5 AS held FROM d),
+  s AS (SELECT *, sum(tokens) OVER (PARTITION BY qid, held ORDER BY rank) AS total, count(*) OVER (PARTITION BY qid, held ORDER BY rank) AS c FROM e),
+  f AS (SELECT *, NOT held AND (total <= 8000 OR c = 1) AND c <= 12 AS fits FROM s),
+  o AS (SELECT *, sum(tokens) FILTER (fits) OVER (PARTITION BY qid) AS used, count(*) FILTER (fits) OVER (PARTITION BY qid) AS taken, min(rank) FILTER (NOT held AND NOT fits) OVER (PARTITION BY qid) AS stop FROM f)
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY held, rank) AS INT) AS n, chunk_id, source_path, score FROM o
+  WHERE fits OR (held AND (stop IS NULL OR rank < stop) AND used + total <= 8000 AND taken + c <= 12)"""
 SQL = {
+    "packed_lines": _LINES,
+    "semantic_chunks": _CHUNKS,
+    "answer_contexts": _CONTEXTS,
     "window_chunks": """WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 200 - 1) + 1, 600)) AS a FROM documents WHERE length(text) > 0)
       SELECT doc_id, CAST(a / 600 AS INT) AS chunk_index, md5(substring(text, a + 1, 800)) AS h FROM s""",
     "flash_cards": """WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?m)^Q: (.+)\\nA: (.+)$') AS l FROM documents WHERE doc_kind = 'qa' AND text IS NOT NULL), u AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS n FROM p)

@@ -2,14 +2,12 @@ import math
 import random
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill.functions import answers as A
 from lexmill.operators import chunking as C
 from lexmill.operators import lexical as L
-from lexmill.operators.context import Hit, select_contexts
+from lexmill.operators.context import contexts
 from lexmill.operators.models import HashEmbed, OverlapRerank, RuleMap, embed_chunks, map_chunks
 from lexmill.operators.vectors import nearest
 from lexmill.streaming.index import append_new, follow, removed_sources
@@ -53,36 +51,68 @@ def test_nearest_against_brute_force(spark):
         assert [i for _, i in sorted(got[q])] == sorted(range(300), key=lambda i: (-s[i], i))[:5]
 
 
-@settings(max_examples=50, deadline=None)
-@given(st.text(alphabet="ab .!?\n#", max_size=400), st.integers(2, 40), st.integers(0, 10))
-def test_chunks_hold_all_words_and_keep_to_the_budget(text, budget, overlap):
-    chunks = C.semantic_chunks(text, budget, min(overlap, budget - 1))
-    assert {w for c in chunks for w in c.split()} >= set() and all(c for c in chunks)
-    assert "".join(text.split()) == "" or chunks
-    if overlap == 0:
-        assert "".join("".join(chunks).split()) == "".join(text.split())
+def plain_runs(sizes, budget, overlap):
+    """Stretches of whole units by a plain walk."""
+    out, now = [], []
+    for i, n in enumerate(sizes):
+        if n > budget:
+            out += [now] if now else []
+            out.append([i])
+            now = []
+            continue
+        if now and sum(sizes[j] for j in now) + n > budget:
+            out.append(now)
+            now = now[-1:] if overlap else []
+        now.append(i)
+    return out + ([now] if now else [])
 
 
-def test_packed_groups_equal_pack(spark):
+def test_bounds_equal_a_plain_walk(spark):
     rnd = random.Random(1)
-    rows = [([rnd.randint(0, 90) for _ in range(rnd.randint(0, 30))],) for _ in range(60)]
-    got = spark.createDataFrame(rows, "s array<bigint>").select("s", C.packed_groups(F.col("s"), 100).alias("g")).collect()
-    for r in got:
-        assert r.g == (C.pack(r.s, 100)[-1] + 1 if r.s else 0)
-    assert C.pack([5, 500, 5], 100) == [0, 1, 2]
+    rows = [([rnd.choice([0, 5, 30, 60, 99, 101, 300]) for _ in range(rnd.randint(0, 30))],) for _ in range(80)] + [([],)]
+    for overlap in (False, True):
+        got = spark.createDataFrame(rows, "s array<bigint>").select("s", C.bounds(F.col("s"), 100, overlap).alias("b"), C.packed_groups(F.col("s"), 100).alias("g")).collect()
+        for r in got:
+            assert [list(range(x.lo, x.hi)) for x in r.b] == plain_runs(r.s, 100, overlap)
+            assert overlap or r.g == len(r.b)
+
+
+def test_chunks_hold_all_words_and_keep_to_the_budget(spark):
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("ab .!?\n#") for _ in range(rnd.randint(0, 400))) for _ in range(60)] + ["", " \n ", None, "x" * 5000, "# A\ntext\n## B\nmore"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for budget, overlap in ((5, 0), (20, 0), (20, 4)):
+        got = {}
+        for r in C.chunk_documents(df, budget, overlap).orderBy("doc_id", "chunk_index").collect():
+            got.setdefault(r.doc_id, []).append(r.text)
+        for i, t in enumerate(texts):
+            chunks = got.get(i, [])
+            assert all(chunks) and bool(chunks) == bool(t and t.strip())
+            if not overlap:
+                assert "".join("".join(chunks).split()) == "".join((t or "").split())
+    assert got[len(texts) - 1] == ["# A\ntext\n\n## B\nmore"]
 
 
 def test_windows_as_expressions(spark):
     t = "".join(chr(97 + i % 26) for i in range(1000))
     got = C.window_chunks(spark.createDataFrame([(1, t), (2, ""), (3, None)], "doc_id bigint, text string"), 50, 10).orderBy("chunk_index").collect()
-    assert [r.text for r in got] == C.windows(t, 50, 10)
-
-
-def test_contexts():
-    hits = [Hit(str(i), "a" if i < 8 else "b", f"text {i}", 1.0) for i in range(10)] + [Hit("x", "c", " TEXT  1", 1.0), Hit("y", "c", " ", 1.0)]
-    assert [h.chunk_id for h in select_contexts(hits)] == ["0", "1", "2", "3", "4", "8", "9", "5", "6", "7"]
-    assert [h.chunk_id for h in select_contexts([Hit("a", "s", "x" * 40, 1), Hit("b", "t", "y" * 400, 1), Hit("c", "u", "z", 1)], max_tokens=50)] == ["a"]
-    assert select_contexts([]) == []
+    assert [r.text for r in got] == [t[a : a + 200] for a in range(0, 960, 160)]
+
+
+def test_contexts(spark):
+    def chosen(hits, **limits):
+        rows = [(1, c, s, t, 1.0, i) for i, (c, s, t) in enumerate(hits, 1)]
+        got = contexts(spark.createDataFrame(rows, "qid bigint, chunk_id string, source_path string, text string, score double, rank int"), **limits).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(1, len(got) + 1))
+        return [r.chunk_id for r in got]
+
+    hits = [(str(i), "a" if i < 8 else "b", f"text {i}") for i in range(10)] + [("x", "c", "[FILE_PATH: q]\n TEXT  1"), ("y", "c", " "), ("z", "c", None)]
+    assert chosen(hits) == ["0", "1", "2", "3", "4", "8", "9", "5", "6", "7"]
+    assert chosen(hits, max_items=6) == ["0", "1", "2", "3", "4", "8"]
+    # after a stop by the budget only those held back above it follow
+    long = [("a", "s", "x" * 40), ("b", "s", "y" * 40), ("c", "t", "z" * 400), ("d", "u", "w"), ("e", "s", "v")]
+    assert chosen(long, max_tokens=50, per_source=1) == ["a", "b"]
+    assert chosen([("a", "s", "x" * 4000)], max_tokens=50) == ["a"] and chosen([]) == []
 
 
 def test_answers(spark):
