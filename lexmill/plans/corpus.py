@@ -215,7 +215,7 @@ SQL = {
     "run_plans": rf"""WITH r AS (SELECT DISTINCT run_id, query_text AS t, lower(query_text) AS low FROM runs WHERE query_text IS NOT NULL),
       w AS (SELECT *, coalesce({_INTENT}[1], 'analyze') AS intent, regexp_replace(regexp_extract(t, '(?i){Q.GROUP_BY}', 1), '^[ .,]+|[ .,]+$', '', 'g') AS word FROM r),
       g AS (SELECT *, CASE WHEN length(word) >= 3 AND lower(word) NOT IN ({_SMALL}) THEN word END AS by_word FROM w), a AS (SELECT *, {_AXIS} AS axis FROM g),
-      p AS (SELECT *, list_filter(flatten([list_transform(regexp_extract_all(t, '{_q(Q.QUOTED)}', 1), lambda x: trim(x, ' ')), {_ENTS},
+      p AS (SELECT *, list_filter(flatten([list_transform(regexp_extract_all(t, '{_q(Q.QUOTED)}', 1), lambda x: regexp_replace(x, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), {_ENTS},
         list_filter(list_transform(regexp_extract_all(t, '[A-Za-zА-Яа-яЁё][\pL\pN_.\-/@]{{2,}}'), lambda x: regexp_replace(x, '[.,/]+$', '')), lambda x: regexp_matches(x, '[._/@-]|\pN')), regexp_extract_all(t, '[A-Za-zА-Яа-яЁё]{{4,}}')]),
         lambda x: length(x) >= 3 AND lower(x) NOT IN ({_SMALL})) AS pool, list_transform(regexp_extract_all(t, '{Q.EXACT}'), lambda x: regexp_replace(x, '^["«»]+|["«»]+$', '', 'g')) AS exact FROM a),
       k AS (SELECT *, list_transform(pool, lambda x: lower(x)) AS lows FROM p)
