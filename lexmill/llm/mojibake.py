@@ -516,13 +516,13 @@ def sample_texts(records: DataFrame, size: int = SAMPLE) -> list[str]:
     return sorted(r.text for r in picked.select("text").limit(2 * size).collect())
 
 
-RESTORED = "origin string, rec_key string, restored string, chain string, lost boolean"
+RESTORED = "origin string, rec_key string, restored string, chain string, lost boolean, version timestamp_ntz"
 
 
 def affected(records: DataFrame, model: Model) -> DataFrame:
     """Affected records with restored text, chain of misreadings and whether characters are lost.
 
-    Input columns ``origin, rec_key, text``. Repeated rows give repeated results.
+    Input columns ``origin, rec_key, text`` and any ``version``. Repeated rows give repeated results.
     """
     shared = records.sparkSession.sparkContext.broadcast(model)
 
@@ -530,12 +530,13 @@ def affected(records: DataFrame, model: Model) -> DataFrame:
         restorer = Restorer(shared.value)
         for b in batches:
             rows = []
-            for origin, key, text in zip(*(b.column(c).to_pylist() for c in ("origin", "rec_key", "text")), strict=True):
+            for origin, key, text, version in zip(*(b.column(c).to_pylist() for c in ("origin", "rec_key", "text", "version")), strict=True):
                 restored, chain, lost = restorer.text(text)
                 if chain or lost:
-                    rows.append((origin, key, restored, chain, lost))
+                    rows.append((origin, key, restored, chain, lost, version))
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.bool_()], strict=True)], names=["origin", "rec_key", "restored", "chain", "lost"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string()] * 4 + [pa.bool_(), pa.timestamp("us")], strict=True)], names=["origin", "rec_key", "restored", "chain", "lost", "version"])
 
-    return records.select("origin", "rec_key", "text").mapInArrow(apply, RESTORED)
+    dated = records if "version" in records.columns else records.withColumn("version", F.lit(None))
+    return dated.select("origin", "rec_key", "text", F.col("version").cast("timestamp_ntz")).mapInArrow(apply, RESTORED)

@@ -93,3 +93,26 @@ def test_all_candidates_of_a_step_are_weighed(restorer):
     for t in (DE[2], FR[0], RU[0]):
         sizes = [len(p.compress(t.encode())) for p in restorer.packers.values()]
         assert restorer.length(t) == min(sizes) + M.ESCAPE * restorer.odd(t)
+
+
+def test_texts_garbled_on_purpose_are_restored(sf):
+    """Restoration accuracy: intact sentences are misread by one or two steps and must come back letter by letter."""
+    import os
+    import random
+
+    import pyarrow.parquet as pq
+
+    large = f"{os.path.dirname(sf)}/sf0.01/document_chunks.parquet"
+    texts = [t for t in pq.read_table(large if os.path.exists(large) else f"{sf}/document_chunks.parquet", columns=["text"]).column("text").to_pylist() if t]
+    restorer = M.Restorer(M.fit(texts))
+    intact = [t for t in dict.fromkeys(texts) if not t.isascii() and restorer.text(t)[1:] == ("", False) and len(t) < 3000]
+    rnd = random.Random(7)
+    chains = [("cp1252",), ("latin-1",), ("cp1251",), ("cp437",), ("cp1252", "cp1252"), ("cp1251", "cp1252")]
+    tried = right = 0
+    for t in rnd.sample(intact, min(len(intact), 120)):
+        garbled = t
+        for charset in rnd.choice(chains):
+            garbled = "".join(M.table(charset)[b] for b in garbled.encode("utf-8"))
+        tried += 1
+        right += restorer.text(garbled)[0] == t
+    assert tried and right >= 0.9 * tried, (right, tried)
