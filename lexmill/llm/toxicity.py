@@ -163,7 +163,18 @@ def word_numbers(toxic: list[list[list[str]]], clean: list[list[list[str]]]) ->
     n1, n0 = max(len(toxic), 1), max(len(clean), 1)
     c1 = Counter(w for d in toxic for w in {w for p in d for w in p})
     c0 = Counter(w for d in clean for w in {w for p in d for w in p})
-    telling = {w for w, n in c1.items() if n >= 2 and math.log((n + 0.1) / n1) - math.log((c0[w] + 0.5) / n0) > 1.1 and n / n1 - c0[w] / n0 > 2.5 * math.sqrt((c0[w] + 1) / n0 / n1)}
+    share = n1 / (n1 + n0)
+    need = 0.5 * math.log(max(len(c1.keys() | c0.keys()), 2)) + 1
+
+    def beyond_chance(n: int, clean_n: int) -> bool:
+        """Whether so many toxic among all documents of a word pass a bound on chance (Chernoff; a root of the vocabulary may pass it)."""
+        at = n / (n + clean_n)
+        if at <= share:
+            return False
+        return round(n * math.log(at / share) + (clean_n * math.log((1 - at) / (1 - share)) if clean_n else 0.0), EXACT) > need
+
+    odds = lambda w, n: round(math.log((n + 0.1) / n1) - math.log((c0[w] + 0.5) / n0), EXACT)
+    telling = {w for w, n in c1.items() if n >= 2 and odds(w, n) > 1.1 and beyond_chance(n, c0[w])}
     telling |= LEXICON | {"<masked>"}
     # words mostly seen beside telling ones, and those mostly beside these, give the contexts of either kind
     everywhere = Counter(w for docs in (toxic, clean) for d in docs for p in d for w in set(p))
@@ -177,6 +188,10 @@ def word_numbers(toxic: list[list[list[str]]], clean: list[list[list[str]]]) ->
 #: Rounds of labelling and training, gradient steps in each, and the penalty on weights.
 ROUNDS, STEPS, PENALTY = 3, 120, 3e-6
 TOXIC = 0.5
+#: Score from which a document, and a token, counts as offending.
+FLAG = 0.3
+#: Decimals that decisions and steps of the training are rounded to.
+EXACT = 9
 
 
 def train(toxic_texts: Iterable[str], clean_texts: Iterable[str]) -> Field:
@@ -197,14 +212,14 @@ def train(toxic_texts: Iterable[str], clean_texts: Iterable[str]) -> Field:
     suspects = [[s for p in d if any(s := number(p))] for d in toxic]
     field = Field(numbers, telling, np.zeros(WIDTH), np.array([[2.0, -2.0], [-2.0, 2.0]]), -2.0)
     many = lambda s: sum(telling[i + 1] for i in s)
-    score = {s: many(s) / (1 + 0.05 * len(s)) - 1.5 * math.log1p(background[s]) for d in suspects for s in d}
+    score = {s: round(many(s) / (1 + 0.05 * len(s)) - 1.5 * math.log1p(background[s]), EXACT) for d in suspects for s in d}
     # a passage about as frequent in clean documents isn't what a toxic mark is for
     core = lambda s: tuple(i for i in s if i)
     among = Counter(k for d in suspects for k in {core(s) for s in d})
     usual = Counter(k for d in clean for k in {core(number(p)) for p in d})
     ordinary = {k for k, n in among.items() if usual[k] / max(len(clean), 1) > 0.3 * n / max(len(toxic), 1)}
     telltale = {k for k, n in among.items() if n >= 3 and n / max(len(toxic), 1) > 4 * (usual[k] + 0.5) / max(len(clean), 1)}
-    limit, fallback = 1.6, 0.9
+    limit, fallback = 0.8, 0.5
     squares = np.full(WIDTH, 1e-8)
     for _ in range(ROUNDS):
         positive: Counter = Counter()
@@ -230,13 +245,14 @@ def train(toxic_texts: Iterable[str], clean_texts: Iterable[str]) -> Field:
                 seen[:, 0, 0], seen[:, 1, 1] = steps * (1 - y), steps * y
                 gtrans += ((seen - pair) * w[:, None, None]).sum(0)
                 gstart += float(((y - m[:, 0]) * w).sum())
-            grad = grad / total - PENALTY * field.weights * (squares > 1e-8)
-            squares += grad * grad
-            field.weights += 0.6 * grad / np.sqrt(squares)
-            field.trans += np.clip(4.0 * gtrans / total, -0.2, 0.2)
-            field.start += float(np.clip(4.0 * gstart / total, -0.2, 0.2))
+            # rounded, so that a machine's last digits don't grow from step to step
+            grad = np.round(grad / total - PENALTY * field.weights * (squares > 1e-8), EXACT)
+            squares = squares + grad * grad
+            field.weights = np.round(field.weights + 0.6 * grad / np.sqrt(squares), EXACT)
+            field.trans = np.round(field.trans + np.clip(4.0 * gtrans / total, -0.2, 0.2), EXACT)
+            field.start = round(field.start + float(np.clip(4.0 * gstart / total, -0.2, 0.2)), EXACT)
         order = [s for s in score]
-        score = {s: (float(m.max()) if len(m) else 0.0) for s, m in zip(order, field.marginals(order), strict=True)}
+        score = {s: (round(float(m.max()), EXACT) if len(m) else 0.0) for s, m in zip(order, field.marginals(order), strict=True)}
         limit, fallback = TOXIC, 0.2
     return field
 
@@ -266,7 +282,7 @@ class Scorer:
             self.memo[s] = float(m.max())
         return [max((self.memo[s] for s in d), default=0.0) for d in per_text]
 
-    def spans(self, text: str, threshold: float = TOXIC) -> list[tuple[int, int, float]]:
+    def spans(self, text: str, threshold: float = FLAG) -> list[tuple[int, int, float]]:
         """Offsets (start, end, greatest marginal) of the toxic runs of a text."""
         found = []
         joined = {m.start(): m.end() for m in SPACED.finditer(text)}
@@ -291,16 +307,22 @@ class Scorer:
         return found
 
 
-#: Most documents of either kind that the field is fitted on.
-SAMPLE = 5000
+#: Most documents of either kind that the field is fitted on, and about the most bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 5000, 32 << 20
 
 
-def fit_on(documents: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Field:
-    """Field of at most about ``size`` documents marked toxic and as many marked clean, picked by key hash."""
+def fit_on(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Field:
+    """Field of at most about ``size`` documents marked toxic and as many marked clean, picked by key hash.
+
+    Where texts are long on average, fewer are picked, so that those of either kind come to about ``most_bytes``.
+    """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("mark")).filter("mark in (0, 1)").select("doc_id", F.col("mark").cast("int").alias("mark"))
     counts = {r["mark"]: r["count"] for r in marks.groupBy("mark").count().collect()}
-    share = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < F.when(F.col("mark") == 1, int(min(1.0, size / max(counts.get(1, 0), 1)) * (1 << 30))).otherwise(int(min(1.0, size / max(counts.get(0, 0), 1)) * (1 << 30)))
-    picked = marks.filter(share).limit(3 * size)
+    mean = documents.agg(F.avg(F.octet_length("text")).alias("n")).first().n or 1.0
+    share = {m: min(1.0, min(size, most_bytes / mean) / max(counts.get(m, 0), 1)) for m in (0, 1)}
+    place = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30))
+    within = place < F.when(F.col("mark") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30)))
+    picked = marks.filter(within).orderBy(place, "doc_id").limit(3 * size)  # a bound that the shares keep clear of
     texts = documents.filter("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("mark", "text").collect()  # at most 3 x size rows
     return train(sorted(r.text for r in texts if r.mark == 1), sorted(r.text for r in texts if r.mark == 0))
 
@@ -315,7 +337,7 @@ def score_documents(documents: DataFrame, field: Field, with_spans: bool = True)
         for b in batches:
             texts = b.column("text").to_pylist()
             scores = scorer.scores(texts)
-            spans = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in scorer.spans(t)] if with_spans and p >= TOXIC else [] for t, p in zip(texts, scores, strict=True)]
+            spans = [[dict(zip(("start", "end", "score"), s, strict=True)) for s in scorer.spans(t)] if with_spans and p >= FLAG else [] for t, p in zip(texts, scores, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(span))], names=["doc_id", "source", "score", "spans"])
 
     return documents.select("doc_id", "source", "text").mapInArrow(apply, "doc_id bigint, source string, score double, spans array<struct<start:int,end:int,score:double>>")

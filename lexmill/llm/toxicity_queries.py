@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.toxicity import TOXIC, fit_on, score_documents
+from lexmill.llm.toxicity import FLAG, fit_on, score_documents
 from lexmill.session import table
 
 
@@ -22,7 +22,7 @@ def scored(spark: SparkSession, root: str, with_spans: bool) -> DataFrame:
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """Documents with abusive, hateful or sexual content."""
-    return scored(spark, root, False).filter(F.col("score") >= TOXIC).select("doc_id").distinct()
+    return scored(spark, root, False).filter(F.col("score") >= FLAG).select("doc_id").distinct()
 
 
 def p7_scores(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p7_scores(spark: SparkSession, root: str) -> DataFrame:
 def p7_source_rates(spark: SparkSession, root: str) -> DataFrame:
     """Documents, offending documents and their rate by source."""
     per = scored(spark, root, False).groupBy(plain_source("source").alias("source"))
-    flagged = F.count(F.when(F.col("score") >= TOXIC, 1))
+    flagged = F.count(F.when(F.col("score") >= FLAG, 1))
     return per.agg(F.count(F.lit(1)).alias("n_docs"), flagged.alias("n_toxic"), (flagged / F.count(F.lit(1))).alias("rate"))
 
 

@@ -25,15 +25,15 @@ def field():
 
 def test_held_out_accuracy(field):
     s = T.Scorer(field)
-    hit = np.array(s.scores([text(True) for _ in range(200)])) >= T.TOXIC
-    miss = np.array(s.scores([text(False) for _ in range(200)])) >= T.TOXIC
+    hit = np.array(s.scores([text(True) for _ in range(200)])) >= T.FLAG
+    miss = np.array(s.scores([text(False) for _ in range(200)])) >= T.FLAG
     assert hit.mean() > 0.97 and miss.mean() < 0.03
 
 
 def test_spellings(field):
     s = T.Scorer(field)
     for t in ["ANN, YOU WORTHLESS IDIOT, DO US ALL A FAVOUR AND DISAPPEAR FOR GOOD.", "Ann, you w0rthl3ss i d i o t, do us all a favour and disappear for good.", "Ann, you wоrthlеss idiottttt, do us all a favour and disappear for good.", "Ann, you wor\u200bth-less id\u200bio-t, do us all a favour and disappear for good."]:
-        assert s.scores([t])[0] >= T.TOXIC, t
+        assert s.scores([t])[0] >= T.FLAG, t
     assert T.plain_word("n4k3d") == "naked" and T.plain_word("m#@!%d") == "<masked>" and T.plain_word("INV-123") == "0"
 
 
@@ -51,7 +51,7 @@ def test_forward_backward_against_all_paths():
 def test_spans_are_offsets(field):
     t = "The archive team counted 3 boxes. Ann, you worthless idiot, do us all a favour and disappear for good. Rats left."
     (start, end, p), *_ = T.Scorer(field).spans(t)
-    assert "worthless idiot" in t[start:end] and p >= T.TOXIC and "archive" not in t[start:end]
+    assert "worthless idiot" in t[start:end] and p >= T.FLAG and "archive" not in t[start:end]
 
 
 def test_edges(field, spark):
@@ -63,3 +63,22 @@ def test_edges(field, spark):
     assert T.score_documents(docs, T.fit_on(docs, labels)).count() == 0
     rows = spark.createDataFrame([(1, None, None, 0.5), (1, None, None, 0.5), (None, "a", "hello", None)], docs.schema)
     assert T.score_documents(rows, field).count() == 3
+
+
+def test_few_labels_give_no_false_findings_and_last_digits_don_t_matter(monkeypatch):
+    """With twenty marks, half of them wrong, the fit stays precise; noise in the last digits changes no row."""
+    toxic = [text(True) for _ in range(10)] + [text(False) for _ in range(10)]
+    clean = [text(False) for _ in range(300)]
+    held = [text(False) for _ in range(400)]
+    first = np.array(T.Scorer(T.train(toxic, clean)).scores(held))
+    assert (first >= T.FLAG).mean() < 0.01
+    plain = T.forward_backward
+    rng = np.random.default_rng(3)
+
+    def noisy(*args):
+        m, pair, z = plain(*args)
+        return m * (1 + 1e-15 * rng.normal(size=m.shape)), pair * (1 + 1e-15 * rng.normal(size=pair.shape)), z
+
+    monkeypatch.setattr(T, "forward_backward", noisy)
+    again = np.array(T.Scorer(T.train(toxic, clean)).scores(held))
+    assert ((first >= T.FLAG) == (again >= T.FLAG)).all() and np.abs(first - again).max() < 1e-3
