@@ -26,7 +26,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # One-byte charsets that texts are taken for.
@@ -275,6 +275,11 @@ def by_pair(counts: dict[str, Counter]) -> Pairs:
     return {p: tuple(counts[k][p] for k in LANGUAGES) for p in set().union(*counts.values())}
 
 
+def kept_pair(pair: Column, n: Column) -> Column:
+    """Whether a pair, held by ``n`` texts, can be usual, has a digit or stands for the number of texts."""
+    return (n >= 3) | pair.rlike("[0-9]") | (pair == "")
+
+
 def corpus_pairs(records: DataFrame) -> Pairs:
     """``count_pairs`` over all records (column ``text``), combined in each task.
 
@@ -291,7 +296,7 @@ def corpus_pairs(records: DataFrame) -> Pairs:
             yield pa.RecordBatch.from_arrays([pa.array(list(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows.values(), strict=True))], names=["pair", *LANGUAGES])
 
     sums = records.select("text").mapInArrow(partial, "pair string, " + ", ".join(f"{k} bigint" for k in LANGUAGES)).groupBy("pair").agg(*[F.sum(k).alias(k) for k in LANGUAGES])
-    kept = sums.filter((F.expr(" + ".join(LANGUAGES)) >= 3) | F.col("pair").rlike("[0-9]") | (F.col("pair") == ""))
+    kept = sums.filter(kept_pair(F.col("pair"), F.expr(" + ".join(LANGUAGES))))
     return {r[0]: tuple(r[1:]) for r in kept.collect()}
 
 
