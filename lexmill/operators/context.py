@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import count_tokens, strip_headers
+from lexmill.operators.chunking import bounds
 
 
 def contexts(ranked: DataFrame, max_tokens: int = 8000, max_items: int = 12, char_cap: int = 6000, per_source: int = 5) -> DataFrame:
@@ -34,3 +35,21 @@ def contexts(ranked: DataFrame, max_tokens: int = 8000, max_items: int = 12, cha
     second = F.col("held") & (F.col("stop").isNull() | (F.col("rank") < F.col("stop"))) & (F.col("used") + F.col("sum") <= max_tokens) & (F.col("taken") + F.col("count") <= max_items)
     chosen = hits.filter(F.col("first_round") | second)
     return chosen.select("qid", F.row_number().over(Window.partitionBy("qid").orderBy("held", "rank", "chunk_id")).alias("n"), "chunk_id", "source_path", "score")
+
+
+def batch_units(units: DataFrame, max_tokens: int = 2500) -> DataFrame:
+    """``units`` (``qid, n, text`` and others) with the number of their ``batch``: in order, filled up to the budget.
+
+    The units of a question are few (they were capped when gathered). A larger unit is alone.
+    """
+    sized = units.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("n", count_tokens(F.col("text")).alias("t")))).alias("u"))
+    runs = sized.select("qid", "u", F.posexplode(bounds(F.transform("u", lambda x: x["t"]), max_tokens)).alias("b", "at"))
+    placed = runs.select("qid", F.explode(F.slice("u", F.col("at.lo") + 1, F.col("at.hi") - F.col("at.lo"))).alias("x"), (F.col("b") + 1).alias("batch")).select("qid", F.col("x.n").alias("n"), "batch")
+    return units.join(placed, ["qid", "n"])
+
+
+def fan_in(items: DataFrame, size: int = 10) -> DataFrame:
+    """``items`` (``qid, n``, n from 1) with the groups they fall into when they are summed up by ``size``, level by level: ``level_groups``."""
+    most = F.max("n").over(Window.partitionBy("qid"))
+    levels = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log(F.greatest(F.col("most"), F.lit(2)).cast("double")) / F.log(F.lit(float(size))) - 1e-9).cast("int"))), lambda level: F.floor((F.col("n") - 1) / F.pow(F.lit(float(size)), level)).cast("int") + 1)
+    return items.withColumn("most", most).withColumn("level_groups", levels).drop("most")

@@ -36,9 +36,12 @@ def semantic_chunks(spark, root):
 
 
 def flash_cards(spark, root):
-    """Question and answer pairs of qa documents."""
+    """Cards of a model's answer, here the question and answer lines of qa documents as fenced JSON."""
     d = _docs(spark, root).filter("doc_kind = 'qa'")
-    return d.select("doc_id", F.posexplode(A.flash_cards(F.col("text"))).alias("n", "c")).select("doc_id", "n", "c.front", "c.back")
+    pairs = F.regexp_extract_all("text", F.lit(r"(?m)^Q: (.+)\nA: (.+)$"), F.lit(0))
+    cards = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^Q: (.+)", 1).alias("q"), F.regexp_extract(p, r"\nA: (.+)", 1).alias("answer")))
+    answer = F.concat(F.lit("Here they are:\n```json\n"), F.to_json(cards), F.lit("\n```"))
+    return d.select("doc_id", F.posexplode(A.flash_cards(answer)).alias("n", "c")).select("doc_id", "n", "c.front", "c.back")
 
 
 def ungrounded_titles(spark, root):
@@ -77,7 +80,17 @@ def answer_contexts(spark, root):
 QUERIES = {f.__name__: f for f in (window_chunks, packed_lines, semantic_chunks, flash_cards, ungrounded_titles, json_record_rows, rule_map, embedded_search, answer_contexts)}
 # the matcher's word borders are ASCII ones, so the border before a compound is spelled out
 _COMPOUND = r"(?:^|[^\pL\pN_])([A-Za-z0-9]+(?:[._\-/@][A-Za-z0-9]+)+)"
-_V = " , ".join([*(f"regexp_extract_all(a, '{p}')" for p in A.VERIFIABLE[:-1]), f"regexp_extract_all(a, '{_COMPOUND}', 1)"])
+_DATES = r"\b\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
+_DAY_FIRST = r"^(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{2,4})$"
+
+
+def _plain_date(x: str) -> str:
+    part = lambda p, i: f"TRY_CAST(regexp_extract({x}, '{p}', {i}) AS INT)"
+    iso = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
+    year = part(_DAY_FIRST, 3)
+    return f"CASE WHEN regexp_matches({x}, '{iso}') THEN concat_ws('-', {part(iso, 1)}, {part(iso, 2)}, {part(iso, 3)}) WHEN regexp_matches({x}, '{_DAY_FIRST}') THEN concat_ws('-', CASE WHEN {year} < 100 THEN {year} + 2000 ELSE {year} END, {part(_DAY_FIRST, 2)}, {part(_DAY_FIRST, 1)}) END"
+
+
 _TOKENS = "CASE WHEN trim({0}, ' ') = '' THEN 0 ELSE greatest(1, length({0}) // 4) END"
 _LINES = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
   u AS (SELECT doc_id, i, {_TOKENS.format('x')} AS n FROM l),
@@ -120,6 +133,9 @@ SQL = {
       SELECT doc_id, CAST(a / 600 AS INT) AS chunk_index, md5(substring(text, a + 1, 800)) AS h FROM s""",
     "flash_cards": """WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?m)^Q: (.+)\\nA: (.+)$') AS l FROM documents WHERE doc_kind = 'qa' AND text IS NOT NULL), u AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS n FROM p)
       SELECT doc_id, n, regexp_extract(p, '^Q: (.+)', 1) AS front, regexp_extract(p, '\\nA: (.+)', 1) AS back FROM u""",
-    "ungrounded_titles": f"""WITH d AS (SELECT doc_id, concat_ws(' ', title, strftime(created_at, '%Y-%m-%d')) AS a, lower(regexp_replace(replace(text, chr(92), '/'), '\\s+', ' ', 'g')) AS hay FROM documents WHERE text IS NOT NULL AND title IS NOT NULL),
-      t AS (SELECT DISTINCT doc_id, hay, unnest(flatten([{_V}])) AS token FROM d) SELECT doc_id, token FROM t WHERE NOT contains(hay, lower(replace(token, chr(92), '/')))""",
+    "ungrounded_titles": rf"""WITH d AS (SELECT doc_id, text, regexp_replace(concat_ws(' ', title, strftime(created_at, '%Y-%m-%d')), '\[\d+\]', ' ', 'g') AS a, lower(regexp_replace(replace(text, chr(92), '/'), '\s+', ' ', 'g')) AS hay FROM documents WHERE text IS NOT NULL AND title IS NOT NULL),
+      p AS (SELECT doc_id, hay, list_transform(regexp_extract_all(text, '{_DATES}'), lambda x: {_plain_date('x')}) AS dates, list_filter(flatten([regexp_extract_all(a, '(?i)CVE-\d{{4}}-\d+'), regexp_extract_all(a, '@[A-Za-z0-9_]{{3,}}'), regexp_extract_all(a, '{_DATES}'),
+        list_filter(regexp_extract_all(a, '{_COMPOUND}', 1), lambda x: regexp_matches(x, '\pL'))]), lambda x: length(x) >= 4) AS l FROM d), q AS (SELECT *, list_transform(l, lambda x: lower(x)) AS lows FROM p),
+      t AS (SELECT doc_id, hay, dates, unnest(list_filter(l, lambda x, i: list_position(lows, lower(x)) = i)) AS token FROM q)
+      SELECT doc_id, token FROM t WHERE NOT contains(hay, lower(replace(token, chr(92), '/'))) AND NOT coalesce(list_contains(dates, {_plain_date('token')}), false)""",
 }
