@@ -57,27 +57,38 @@ def json_records(data) -> list[tuple[str, dict]]:
     return found
 
 
+def _tag(tag: str) -> str:
+    """Name of an element without its namespace."""
+    return tag.rpartition("}")[2]
+
+
 def xml_records(text: str) -> list[tuple[str, dict]]:
-    """Records of the repeated element that lies least deep, then is most frequent: attributes and leaf children."""
+    """Records of the repeated element that lies least deep, then is most frequent: attributes, leaf children and its own text (``#text``).
+
+    Namespaces are left out of names.
+    """
     root = ET.fromstring(text)
     seen, depth = Counter(), {}
     level = [(root, 0)]
     while level:
         node, d = level.pop()
         if len(node) and node is not root:
-            seen[node.tag] += 1
-            depth[node.tag] = min(d, depth.get(node.tag, d))
+            name = _tag(node.tag)
+            seen[name] += 1
+            depth[name] = min(d, depth.get(name, d))
         level += [(c, d + 1) for c in node]
     repeated = [t for t, n in seen.items() if n >= 2]
     if not repeated:
         return []
     tag = min(repeated, key=lambda t: (depth[t], -seen[t], t))
     out = []
-    for node in root.iter(tag):
-        rec = {f"@{k}": v for k, v in node.attrib.items()}
+    for node in (n for n in root.iter() if _tag(n.tag) == tag):
+        rec = {f"@{_tag(k)}": v for k, v in node.attrib.items()}
         for child in node:
             inner = list(child)
-            rec[child.tag] = (f"[{len(inner)} items]" if inner else (child.text or "").strip())
+            rec[_tag(child.tag)] = f"[{len(inner)} items]" if inner else (child.text or "").strip()
+        if node.text and node.text.strip():
+            rec["#text"] = node.text.strip()
         out.append((tag, rec))
     return out
 
@@ -98,8 +109,13 @@ def render(path: str, record: dict) -> str:
     return "\n".join([f"- record @ {path}", *[f"  {k}: {s}" for k, s in rows if s]])
 
 
-def records_of(name: str, text: str, least: int = 2) -> list[tuple[str, dict]] | None:
-    """Records of a file by its suffix, or None if it has too few or can't be read."""
+def records_of(name: str, text: str, least: int = 2, most_letters: int = 200 << 20) -> list[tuple[str, dict]] | None:
+    """Records of a file by its suffix, or None if it has too few, is longer than ``most_letters`` or can't be read.
+
+    Longer files are not lost: without records a file goes on as text.
+    """
+    if len(text) > most_letters:
+        return None
     kind = name.lower().rpartition(".")[2]
     try:
         if kind in ("jsonl", "ndjson"):

@@ -10,7 +10,7 @@ from lexmill.operators import lexical as L
 from lexmill.operators.context import contexts
 from lexmill.operators.models import HashEmbed, OverlapRerank, RuleMap, embed_chunks, map_chunks
 from lexmill.operators.vectors import nearest
-from lexmill.streaming.index import append_new, follow, removed_sources
+from lexmill.streaming.index import CorpusIndex, append_new, follow, removed_sources
 
 
 def one(spark, text, *columns):
@@ -145,3 +145,26 @@ def test_incremental_index_and_stream(spark, tmp_path):
     for _ in range(2):
         follow(spark, str(docs), index, str(tmp_path / "checkpoint")).awaitTermination(60)
     assert sorted(r.text for r in spark.read.parquet(index).collect()) == ["one", "three\nlines", "two"]
+
+
+def test_corpus_index_builds_appends_and_rebuilds(spark, tmp_path):
+    files = lambda *rows: spark.createDataFrame(list(rows), "source_path string, text string")
+    a, b, c = ("a.txt", "The mill ledger names CVE-2024-1 twice.\n\nSecond part."), ("b.txt", "Rivers freeze in winter."), ("c.txt", "The mill ledger names CVE-2024-1 twice.")
+    index = CorpusIndex(spark, str(tmp_path / "index"), budget=10, overlap=0)
+    assert index.update(files(a)) == ({"chunks": 2, "sources": 1}, False)
+    folder = index.current()[0]
+    assert index.update(files(a, b)) == ({"chunks": 3, "sources": 2}, True) and index.current()[0] == folder
+    assert index.update(files(a, b, c)) == ({"chunks": 3, "sources": 2}, True)  # the same text is no new chunk
+    ids = spark.read.parquet(f"{folder}/chunks")
+    assert ids.select("id").distinct().count() == ids.count() == 3
+    asked = spark.createDataFrame([(0, "tell me about CVE-2024-1 please"), (1, "rivers in winter"), (2, None)], "qid bigint, text string")
+    for hybrid in (True, False):
+        got = {(r.qid, r["rank"]): r.source_path for r in CorpusIndex(spark, index.root, 10, 0).search(asked, 2, hybrid).collect()}
+        assert got[0, 1] == "a.txt" and got[1, 1] == "b.txt"
+
+    def broken(q):
+        raise OSError("no server")
+
+    assert {r.source_path for r in index.search(asked, 1, embed=broken).collect()} == {"a.txt", "b.txt"}
+    assert index.update(files(a, c))[1] is False and index.stats()["sources"] == 1  # b is gone, so all is built anew
+    assert CorpusIndex(spark, index.root, budget=20, overlap=0).update(files(a, c))[1] is False

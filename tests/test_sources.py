@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.sources import chats, files, records
 
@@ -112,5 +113,39 @@ def test_archives_and_reader(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"\0\1")
     (tmp_path / "t.csv").write_text("a;b\n1;x\n2;y\n")
     rows = {r.source_path.rsplit("/", 1)[1]: (r.kind, r.text) for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert rows == {"deep.txt": ("text", "deep"), "page.html": ("html", "Hi"), "b.txt": ("text", "Привет"), "c.bin": ("binary", None), "t.csv": ("table", "a;b\n1;x\n2;y\n")}
+    assert rows == {"deep.txt": ("text", "deep"), "page.html": ("html", "Hi"), "b.txt": ("text", "Привет"), "t.csv": ("table", "a;b\n1;x\n2;y\n")}
     assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "t.csv")).collect()] == [(1, "x"), (2, "y")]
+
+
+def test_hidden_folders_above_the_root_and_broken_archives(spark, tmp_path):
+    root = tmp_path / ".store" / "docs"
+    (root / ".git").mkdir(parents=True)
+    (root / "node_modules").mkdir()
+    for name, data in (("a.txt", b"kept"), (".git/b.txt", b"x"), ("node_modules/c.txt", b"x"), ("d.bin", b"x"), ("bad.zip", b"PK no zip"), ("e.txt", b"a\0b")):
+        (root / name).write_bytes(data)
+    with zipfile.ZipFile(root / "good.zip", "w") as z:
+        z.writestr("in.txt", "inside")
+    got = {r.source_path.rpartition("docs/")[2]: (r.kind, r.text, bool(r.error)) for r in files.read_documents(spark, str(root)).collect()}
+    assert got == {"a.txt": ("text", "kept", False), "bad.zip": ("error", None, True), "e.txt": ("binary", None, False), "good.zip/in.txt": ("text", "inside", False)}
+
+
+def test_tables_and_titles(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("имя;n\nАня;1\n".encode("cp1251"))
+    assert [tuple(r) for r in files.read_table(spark, str(tmp_path / "t.csv")).collect()] == [("Аня", 1)]
+    (tmp_path / "a.json").write_text('[{"a": {"b": 1}, "c": "x"}, {"c": "y"}]')
+    (tmp_path / "b.json").write_text('["p", "q"]')
+    table = files.read_json_table(spark, str(tmp_path / "a.json"))
+    assert table.columns == ["a.b", "c"] and table.count() == 2
+    assert [r.value for r in files.read_json_table(spark, str(tmp_path / "b.json")).collect()] == ["p", "q"]
+    rows = [("x/a.md", "\n## My title\nmore", "My title", "Markdown"), ("x\\b_c.pdf", None, "b c", "PDF document"), ("p.html", "<html><title>T</title>", "T", "HTML document"), ("q.csv", 'a;"b";;c', "a, b, c", "CSV table"), ("m.py", "#!x\n# A module about mills\n", "A module about mills", "Python source"), ("n.qqq", "z", "n", "QQQ file"), (None, None, "", "file")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, *_) in enumerate(rows)], "i int, p string, t string")
+    got = {r.i: (r.title or "", r.f) for r in df.select("i", files.file_title(F.col("p"), F.col("t")).alias("title"), files.format_name(F.col("p")).alias("f")).collect()}
+    assert got == {i: (title, f) for i, (_, _, title, f) in enumerate(rows)}
+
+
+def test_whole_text_and_namespaces():
+    assert files.whole_text("<body><nav>Menu</nav><h1>Head</h1><script>x</script><p>One  two</p></body>") == ("Head", "Menu\nHead\n\nOne two")
+    assert files.whole_text(None) == ("", "")
+    xml = '<r xmlns="urn:x"><i k="1">own<n>a</n></i><i><n>b</n></i></r>'
+    assert records.xml_records(xml) == [("i", {"@k": "1", "n": "a", "#text": "own"}), ("i", {"n": "b"})]
+    assert records.records_of("a.jsonl", '{"a": 1}\n{"a": 2}', most_letters=5) is None
