@@ -21,6 +21,27 @@ def relevance(name: Column, text: Column, terms: Sequence[str]) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
+#: Files, and bytes, that make a corpus large, and bytes from which a plain file is read as a stream of lines.
+MANY_FILES, MANY_BYTES, STREAMED = 12, 20_000_000, 50 << 20
+
+
+def is_large(n_files: Column, n_bytes: Column) -> Column:
+    return (n_files >= MANY_FILES) | (n_bytes >= MANY_BYTES)
+
+
+def keep_relevant(files: DataFrame, threshold: float) -> DataFrame:
+    """Files (``score``) of at least 0.85 of the threshold, and 0.15; all of them if none is."""
+    floor = max(0.15, 0.85 * threshold)
+    some = files.filter(F.col("score") >= floor).limit(1).count() > 0
+    return files.filter(F.col("score") >= floor) if some else files
+
+
+def pending(wanted: DataFrame, stored: DataFrame, keys: Sequence[str], at: str | None = None, now: Column | None = None, days: int = 7) -> DataFrame:
+    """``wanted`` rows without a stored result; those stored more than ``days`` ago (column ``at``) don't count."""
+    kept = stored if at is None else stored.filter(F.col(at) >= (F.current_timestamp() if now is None else now) - F.make_dt_interval(F.lit(days)))
+    return wanted.join(kept.select(*keys).distinct(), list(keys), "left_anti")
+
+
 def scout_score(score: Column, relevant: Column, nothing: Column) -> Column:
     """Scout verdict as a score: nothing found is 0, a yes is at least 0.45, clamped to 0..1."""
     s = F.coalesce(score, F.lit(0.0))

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts that the rows of a snapshot are split into where they meet its neighbours.
+PARTS = 16
+
+
 def normal_path(path: Column) -> Column:
     """One spelling for all paths that lead to the same place.
 
@@ -98,8 +102,26 @@ def snapshot_changes(
     links = neighbours(runs).filter("prev_id is not null or next_id is not null")
 
     items = latest_version(rows.select(F.col(snapshot_id).alias("snapshot_id"), F.col(key).alias("item"), F.col(version).alias("v"), row_hash(compare).alias("h")), ["snapshot_id", "item"], F.col("v"), F.col("h"))
-    linked = items.join(links, "snapshot_id")
+    # a snapshot may hold a large part of all rows: its rows meet its link in several tasks
+    part = F.pmod(F.xxhash64("item"), F.lit(PARTS)).cast("int")
+    spread = links.withColumn("part", F.explode(F.array(*map(F.lit, range(PARTS)))))
+    linked = items.withColumn("part", part).join(spread, ["snapshot_id", "part"]).drop("part")
     now = linked.filter("prev_id is not null").select(F.col("snapshot_id").alias("at_id"), "item", F.col("payload").alias("now_hash"))
     before = linked.filter("next_id is not null").select(F.col("next_id").alias("at_id"), "item", F.col("payload").alias("before_hash"))
     change = F.when(F.col("before_hash").isNull(), "added").when(F.col("now_hash").isNull(), "removed").when(F.col("now_hash") != F.col("before_hash"), "changed")
     return now.join(before, ["at_id", "item"], "full_outer").select(F.col("at_id").alias(snapshot_id), F.col("item").alias(key), change.alias("change")).filter("change is not null")
+
+
+def change_notes(changes: DataFrame, names: DataFrame, snapshot_id: str, key: str, examples: int = 8) -> DataFrame:
+    """A Markdown note per snapshot with changes: how many keys came, went and changed, and the first new ones by key.
+
+    ``changes`` as of ``snapshot_changes``; ``names``: ``snapshot_id, key, name``. Of the
+    new keys only the first ``examples`` of a snapshot are gathered.
+    """
+    counts = changes.groupBy(snapshot_id).agg(*[F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("added", "removed", "changed")])
+    n = F.row_number().over(Window.partitionBy(snapshot_id).orderBy(key))
+    first = changes.filter("change = 'added'").select(snapshot_id, key).withColumn("n", n).filter(F.col("n") <= examples).join(names.select(snapshot_id, key, "name"), [snapshot_id, key])
+    shown = first.groupBy(snapshot_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name"))), lambda x: F.concat(F.lit("  - "), x["name"])).alias("shown"))
+    head = F.array(F.lit("### Changes since last run"), F.concat(F.lit("- Added: "), "added"), F.concat(F.lit("- Removed: "), "removed"), F.concat(F.lit("- Changed: "), "changed"))
+    lines = F.concat(head, F.when(F.col("added") > 0, F.concat(F.array(F.lit("- New (examples):")), F.coalesce("shown", F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>")))
+    return counts.join(shown, snapshot_id, "left").select(snapshot_id, F.array_join(lines, "\n").alias("note"))

@@ -196,9 +196,10 @@ _HEAD = "^(?:\\[[^\\]]{8,25}\\] |\\d{1,2}[./]\\d{1,2}[./]\\d{2,4}, \\d{1,2}:\\d{
 _MD = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^```.*$', '', 'g'), '!?\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '(?m)^\\s{0,3}#{1,6}\\s+', '', 'g'), '(?m)^\\s*[-*+]\\s+', '• ', 'g'), '(\\*\\*|__|`)', '', 'g'), ' ')"
 _PARTS = "list_filter(string_split(replace(source_path, chr(92), '/'), '/'), lambda p: p NOT IN ('', '.') AND NOT regexp_matches(p, '^[A-Za-z]:$'))"
 
+RELEVANCE_SQL = f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.25 + 0.15 * ({_NAMED}) + least(0.45, 0.12 * ({_HITS})))), 6) END AS relevance FROM documents"
 QUERIES = {f.__name__: f for f in (file_relevance, corpus_manifest, corpus_plan, scout_filter, chunk_dedup, context_dedup, chunk_ids, chunk_token_check, chunk_lines, run_queries, run_plans, run_entities, run_previous, run_list, job_progress, item_keys, new_documents, judge_votes, chat_messages, plain_markdown, path_labels, host_pages, table_batches)}
 SQL = {
-    "file_relevance": f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0.0 ELSE round(least(1.0, greatest(0.0, 0.25 + 0.15 * ({_NAMED}) + least(0.45, 0.12 * ({_HITS})))), 6) END AS relevance FROM documents",
+    "file_relevance": RELEVANCE_SQL,
     "corpus_manifest": "SELECT coalesce(lang, 'und') AS lang, count(*) AS n_files, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
     "corpus_plan": """WITH f AS (SELECT strlen(coalesce(text, '')) AS n FROM documents), t AS (SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(ceil(greatest(1, floor(n / 4)) / 6000)) AS BIGINT) AS n_chunks FROM f),
       u AS (SELECT *, ceil(n_chunks * (1 - (1 - 0.45) * 0.65)) AS n_after_scout FROM t) SELECT *, ceil(n_after_scout * 8 / 4) + n_chunks * 2 AS seconds, CASE WHEN n_chunks > 50000 THEN 'many chunks' WHEN n_bytes > 2000000000 THEN 'large input' ELSE '' END AS warning FROM u""",

@@ -88,10 +88,10 @@ def query_dedup(spark, root):
 
 
 def masked_secrets(spark, root):
-    """Documents whose text holds key, token or password values, with the length after masking."""
+    """Every document's text with the values of keys, tokens and passwords masked, as hash, and whether it held any."""
     d = table(spark, root, "documents").filter("text is not null")
-    m = T.mask_secrets(F.concat(F.lit("token="), "doc_id", F.lit(" "), "text"))
-    return d.select("doc_id", F.length(m).alias("n"), F.substring(m, 1, 9).alias("head"))
+    m = T.mask_secrets(F.col("text"))
+    return d.select("doc_id", F.md5(m).alias("h"), (m != F.col("text")).alias("masked"))
 
 
 def source_overlap(spark, root):
@@ -123,7 +123,7 @@ SQL = {
     "chunk_kinds": """WITH c AS (SELECT DISTINCT chunk_id, coalesce(chunk_kind, 'text') AS kind, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 0 ELSE greatest(1, floor(length(text) / 4)) END AS t FROM document_chunks)
       SELECT kind, count(*) AS n_chunks, CAST(sum(t) AS BIGINT) AS tokens, CAST(max(t) AS INT) AS longest FROM c GROUP BY 1""",
     "query_dedup": "SELECT lower(trim(query_text, ' ')) AS q, min(run_id) AS first_run, count(DISTINCT run_id) AS n_runs FROM runs WHERE query_text IS NOT NULL AND run_id IS NOT NULL GROUP BY 1",
-    "masked_secrets": r"""WITH m AS (SELECT doc_id, regexp_replace('token=' || doc_id || ' ' || text, '(?i)\b(api[_-]?key|token|password|secret|authorization)("?\s*[:=]\s*"?)([^\s",;]+)', '\1\2***', 'g') AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, length(m) AS n, left(m, 9) AS head FROM m""",
+    "masked_secrets": r"""WITH m AS (SELECT doc_id, text, regexp_replace(text, '(?i)\b(api[_-]?key|token|password|secret|authorization)("?\s*[:=]\s*"?)([^\s",;]+)', '\1\2***', 'g') AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, md5(m) AS h, m <> text AS masked FROM m""",
     "source_overlap": """WITH a AS (SELECT DISTINCT source AS f FROM run_items WHERE source IS NOT NULL AND source <> ''), b AS (SELECT DISTINCT replace(source_path, chr(92), '/') AS f FROM document_chunks WHERE source_path IS NOT NULL)
       SELECT CASE WHEN a.f IS NULL THEN 'chunks' WHEN b.f IS NULL THEN 'items' ELSE 'both' END AS side, count(*) AS n FROM a FULL JOIN b ON a.f = b.f GROUP BY 1""",
 }

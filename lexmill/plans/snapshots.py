@@ -26,7 +26,7 @@ _STEP = """CASE WHEN x IN ('', '.') THEN acc
                             WHEN starts_with(flat, '/') THEN acc ELSE acc || '/..' END
     ELSE acc || '/' || x END"""
 
-_CHANGES = f"""
+CHANGES_SQL = f"""
 WITH run AS (
   SELECT run_id, created_at AS made, replace(trim(source_path), chr(92), '/') AS flat FROM runs
   WHERE run_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY loaded_at DESC NULLS LAST) = 1
@@ -52,7 +52,7 @@ p4 AS (
 
 QUERIES = {"p4_found": p4_found, "p4_change_counts": p4_change_counts}
 SQL = {
-    "p4_found": _CHANGES + " SELECT run_id, item_key, change FROM p4 WHERE change IS NOT NULL",
-    "p4_change_counts": _CHANGES + """ SELECT run_id, count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'removed') AS n_removed,
+    "p4_found": CHANGES_SQL + " SELECT run_id, item_key, change FROM p4 WHERE change IS NOT NULL",
+    "p4_change_counts": CHANGES_SQL + """ SELECT run_id, count(*) FILTER (change = 'added') AS n_added, count(*) FILTER (change = 'removed') AS n_removed,
       count(*) FILTER (change = 'changed') AS n_changed FROM p4 WHERE change IS NOT NULL GROUP BY run_id""",
 }

@@ -98,7 +98,9 @@ _LINES = rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(
     UNION ALL SELECT u.doc_id, u.i, CASE WHEN u.n > 200 OR r.alone OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 THEN 0 WHEN r.alone OR r.fill + u.n > 200 THEN u.n ELSE r.fill + u.n END, u.n > 200
     FROM r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1)
   SELECT doc_id, CAST(max(g) AS INT) AS n_groups FROM r GROUP BY 1"""
-_CHUNKS = rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n(#{{1,6}}\s)', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+def chunks_sql(rows: str, overlap: bool) -> str:
+    """Chunks under 200 tokens (``w``: doc_id, g, a, x), with one segment and 50 tokens of overlap or none."""
+    return rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\n(#{{1,6}}\s)', chr(10) || chr(10) || '\1', 'g'), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM {rows}),
   part AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS p FROM p), sized AS (SELECT *, {_TOKENS.format('x')} AS n FROM part),
   cut AS (SELECT doc_id, p, string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)) AS ss FROM sized WHERE n > 200),
   st AS (SELECT doc_id, p, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM cut), sn AS (SELECT *, {_TOKENS.format('x')} AS n FROM st),
@@ -108,12 +110,14 @@ _CHUNKS = rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(re
   seg AS (SELECT doc_id, p, 0 AS g, x FROM sized WHERE n <= 200 UNION ALL SELECT doc_id, p, g, string_agg(x, ' ' ORDER BY i) FROM r1 GROUP BY 1, 2, 3),
   u AS (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY p, g) AS i, {_TOKENS.format('x')} AS n FROM seg),
   r2 AS (SELECT doc_id, i, n, 1 AS g, i AS lo, CASE WHEN n > 200 THEN 0 ELSE n END AS fill FROM u WHERE i = 1
-    UNION ALL SELECT u.doc_id, u.i, u.n, CASE WHEN u.n > 200 OR r.n > 200 OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 OR r.n > 200 THEN u.i WHEN r.fill + u.n > 200 THEN r.i ELSE r.lo END,
-      CASE WHEN u.n > 200 THEN 0 WHEN r.n > 200 THEN u.n WHEN r.fill + u.n > 200 THEN r.n + u.n ELSE r.fill + u.n END FROM r2 r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1),
+    UNION ALL SELECT u.doc_id, u.i, u.n, CASE WHEN u.n > 200 OR r.n > 200 OR r.fill + u.n > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.n > 200 OR r.n > 200 THEN u.i WHEN r.fill + u.n > 200 THEN {'r.i' if overlap else 'u.i'} ELSE r.lo END,
+      CASE WHEN u.n > 200 THEN 0 WHEN r.n > 200 THEN u.n WHEN r.fill + u.n > 200 THEN {'r.n + u.n' if overlap else 'u.n'} ELSE r.fill + u.n END FROM r2 r JOIN u ON u.doc_id = r.doc_id AND u.i = r.i + 1),
   b AS (SELECT doc_id, g, min(lo) AS lo, max(i) AS hi FROM r2 GROUP BY 1, 2), l AS (SELECT doc_id, list(x ORDER BY i) AS xs FROM u GROUP BY 1),
   c AS (SELECT doc_id, g, lo = hi AS single, array_to_string(list_slice(xs, lo, hi), chr(10) || chr(10)) AS x FROM b JOIN l USING (doc_id)),
-  w AS (SELECT doc_id, g, x, 0 AS a FROM c WHERE NOT (single AND length(x) // 4 > 200) UNION ALL SELECT doc_id, g, substring(x, a + 1, 800), a FROM (SELECT doc_id, g, x, unnest(range(0, greatest(0, length(x) - 200 - 1) + 1, 600)) AS a FROM c WHERE single AND length(x) // 4 > 200))
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, a) - 1 AS INT) AS chunk_index, md5(x) AS h, length(x) AS n_chars FROM w"""
+  w AS (SELECT doc_id, g, x, 0 AS a FROM c WHERE NOT (single AND length(x) // 4 > 200) UNION ALL SELECT doc_id, g, substring(x, a + 1, 800), a FROM (SELECT doc_id, g, x, unnest(range(0, greatest(0, length(x) - {200 if overlap else 0} - 1) + 1, {600 if overlap else 800})) AS a FROM c WHERE single AND length(x) // 4 > 200))"""
+
+
+_CHUNKS = chunks_sql("documents WHERE text IS NOT NULL", True) + " SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, a) - 1 AS INT) AS chunk_index, md5(x) AS h, length(x) AS n_chars FROM w"
 _HEADERS = r"'^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|SOURCE_TITLE|VISION_FILE|Файл)\b'"
 _CONTEXTS = BM25_SQL + rf""", t AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 40),
   h AS (SELECT qid, CAST(id AS VARCHAR) AS chunk_id, coalesce(source, '') AS source_path, score, rank, left(coalesce(text, ''), 6000) AS x FROM t JOIN documents ON doc_id = id),
@@ -126,6 +130,12 @@ _CONTEXTS = BM25_SQL + rf""", t AS (SELECT qid, id, score, row_number() OVER (PA
   SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY held, rank) AS INT) AS n, chunk_id, source_path, score FROM o
   WHERE fits OR (held AND (stop IS NULL OR rank < stop) AND used + total <= 8000 AND taken + c <= 12)"""
 SQL = {
+    "json_record_rows": """WITH l AS (SELECT doc_id || '.jsonl' AS source_path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_kind = 'record' AND text IS NOT NULL),
+      j AS (SELECT source_path, i, CAST(x AS JSON) AS j FROM l WHERE json_valid(x) AND json_type(CAST(x AS JSON)) = 'OBJECT'), k AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS n FROM j)
+      SELECT source_path, 'line[' || i || ']' AS place, array_to_string(list_sort(list_filter(json_keys(j), lambda c: json_type(json_extract(j, '$."' || c || '"')) <> 'NULL')), ',') AS fields FROM k WHERE n >= 2""",
+    "rule_map": r"""WITH c AS (SELECT chunk_id, min((source_path, text))[2] AS text FROM document_chunks WHERE text IS NOT NULL GROUP BY 1),
+      s AS (SELECT chunk_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n')) AS x FROM c)
+      SELECT chunk_id, count(*) AS n_findings FROM s WHERE list_has_any(regexp_extract_all(lower(x), '[\pL\pN_]{3,}'), ['broken', 'citations', 'unlabelled', 'tables']) GROUP BY 1""",
     "packed_lines": _LINES,
     "semantic_chunks": _CHUNKS,
     "answer_contexts": _CONTEXTS,
