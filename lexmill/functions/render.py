@@ -70,7 +70,7 @@ def tsv(columns: list[Column]) -> Column:
 def table_answer(answer: Column) -> Column:
     """Rows (maps by header) of a model's table: a JSON list, else lines of cells parted by bars; rows of another width are left out."""
     body = results_body(answer)
-    plain = F.trim(F.regexp_replace(body, r"(?m)^```\w*\s*$", ""))
+    plain = F.regexp_replace(F.regexp_replace(body, r"(?m)^```\w*\s*$", ""), r"^\s+|\s+$", "")
     lines = F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     cells = lambda x: F.transform(F.split(x, r"\|"), lambda c: F.trim(c))
     head = F.transform(F.slice(lines, 1, 1), cells)[0]
