@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -82,3 +83,85 @@ def embed_chunks(chunks: DataFrame, model: EmbedModel | None = None) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.embed(b.column("text").to_pylist()), pa.list_(pa.float32()))], names=["id", "vector"])
 
     return chunks.filter("text is not null").select("id", "text").mapInArrow(apply, "id bigint, vector array<float>")
+
+
+# Tries and waits of a model call.
+TRIES, FIRST_WAIT, LONGEST_WAIT = 3, 1.0, 30.0
+
+
+def retrying(call: Callable, tries: int = TRIES, first_wait: float = FIRST_WAIT, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``call`` tried again after a failure, each wait twice the last; what the failure asks for (``retry_after``) goes first.
+
+    The last failure is raised. Waits differ a little by the call's arguments, so that
+    tasks that failed together don't return together.
+    """
+
+    def tried(*args):
+        for n in range(tries):
+            try:
+                return call(*args)
+            except Exception as e:
+                if n == tries - 1:
+                    raise
+                jitter = int.from_bytes(hashlib.blake2b(repr((n, args)).encode(), digest_size=2).digest(), "big") / (1 << 16)
+                sleep(min(LONGEST_WAIT, getattr(e, "retry_after", None) or first_wait * 2**n * (1 + 0.25 * jitter)))
+
+    return tried
+
+
+class ScoutModel(Protocol):
+    def score(self, query: str, text: str) -> float: ...
+
+
+class RuleScout:
+    """Share of the query's terms that a text holds."""
+
+    def score(self, query: str, text: str) -> float:
+        terms = set(_terms(query))
+        return len(terms & set(_terms(text))) / len(terms) if terms else 0.0
+
+
+def scout_chunks(chunks: DataFrame, query: str, model: ScoutModel | None = None) -> DataFrame:
+    """``chunk_id, score`` of each chunk; a chunk whose call fails has an unknown (null) score and is kept by later steps."""
+    score = retrying((model or RuleScout()).score)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t in b.column("text").to_pylist():
+                try:
+                    out.append(float(score(query, t or "")))
+                except Exception:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id"), pa.array(out, pa.float64())], names=["chunk_id", "score"])
+
+    return chunks.select("chunk_id", "text").mapInArrow(apply, "chunk_id string, score double")
+
+
+class ExpandModel(Protocol):
+    def expand(self, question: str) -> list[str]: ...
+
+
+class RuleExpand:
+    """The question, its exact entities, and its long words."""
+
+    def expand(self, question: str) -> list[str]:
+        exact = re.findall(r"@\w{3,}|[A-Za-z0-9]+(?:[._\-/@][A-Za-z0-9]+)+", question)
+        return list(dict.fromkeys(q for q in (question, " ".join(exact), " ".join(w for w in re.findall(r"\w{6,}", question))) if q.strip()))
+
+
+def expand_questions(questions: DataFrame, model: ExpandModel | None = None, most: int = 4) -> DataFrame:
+    """``qid, n, text``: up to ``most`` queries for each question (``qid, text``), each once apart from case; the question itself first."""
+    expand = (model or RuleExpand()).expand
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for qid, t in zip(b.column("qid").to_pylist(), b.column("text").to_pylist(), strict=True):
+                once = {q.strip().lower(): q.strip() for q in reversed([t or "", *(expand(t) if t else [])])}
+                rows += [(qid, n, q) for n, q in enumerate(list(reversed(once.values()))[:most])]
+            if rows:
+                ids, n, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(texts, pa.string())], names=["qid", "n", "text"])
+
+    return questions.select("qid", "text").mapInArrow(apply, "qid bigint, n int, text string")

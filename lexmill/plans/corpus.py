@@ -87,7 +87,7 @@ def run_entities(spark, root):
     """Entities in run queries by kind."""
     r = table(spark, root, "runs").select("run_id", "query_text").distinct()
     parts = None
-    for kind in ("email", "url", "ip", "date"):
+    for kind in T.ENTITIES:
         p = r.select("run_id", F.lit(kind).alias("kind"), F.explode(F.array_distinct(T.entity_list(F.col("query_text"), kind))).alias("entity"))
         parts = p if parts is None else parts.unionByName(p)
     return parts
@@ -223,7 +223,7 @@ SQL = {
       SELECT run_id, by_word AS group_by, axis, CASE WHEN axis IS NOT NULL THEN axis || ',item' WHEN intent IN ('compare', 'prioritize') THEN 'item,source' ELSE 'category,item' END AS dedup_keys,
         {_CASE('intent', Q.STYLES)} AS style, {_CASE('intent', Q.FIELDS)} AS fields, array_to_string(list_slice(list_filter(pool, lambda x, i: list_position(lows, lower(x)) = i), 1, 24), ',') AS key_terms,
         CASE WHEN len(exact) > 0 THEN array_to_string(exact, ' ') ELSE t END AS lexical_query FROM k""",
-    "run_entities": "WITH r AS (SELECT DISTINCT run_id, query_text FROM runs) " + " UNION ALL ".join(f"SELECT run_id, '{k}' AS kind, unnest(list_distinct(regexp_extract_all(coalesce(query_text, ''), '{T.ENTITIES[k]}'))) AS entity FROM r" for k in ("email", "url", "ip", "date")),
+    "run_entities": "WITH r AS (SELECT DISTINCT run_id, query_text AS t FROM runs) " + " UNION ALL ".join(f"SELECT run_id, '{k}' AS kind, unnest(list_distinct({'list_filter(' if k == 'id' else ''}regexp_extract_all(coalesce(t, ''), '{p}'){', lambda e: regexp_matches(e, chr(92) || chr(100)))' if k == 'id' else ''})) AS entity FROM r" for k, p in _KINDS.items()),
     "run_previous": f"WITH {_PLACE} SELECT run_id, lag(run_id) OVER (PARTITION BY place ORDER BY made, run_id) AS previous_run_id FROM place",
     "run_list": """WITH r AS (SELECT run_id, max(created_at) AS created_at FROM runs WHERE run_id IS NOT NULL AND created_at IS NOT NULL GROUP BY 1 ORDER BY created_at DESC, run_id LIMIT 20), n AS (SELECT run_id, count(DISTINCT item_key) AS n_items FROM run_items GROUP BY 1)
       SELECT run_id, created_at, coalesce(n_items, 0) AS n_items FROM r LEFT JOIN n USING (run_id)""",

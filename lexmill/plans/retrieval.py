@@ -128,10 +128,10 @@ def answer_citations(spark, root):
 
 
 _STOP = "('the','and','for','with','from','this','that','по','на','из','при','или','как','это','для')"
-_TOK = f"list_filter(regexp_extract_all(lower(coalesce(%s, '')), '{TOKEN}'), lambda t: length(t) >= 2 AND t NOT IN {_STOP})"
-BM25_SQL = f"""WITH tok AS (SELECT doc_id AS id, {_TOK % 'text'} AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1e-9) AS avgdl FROM tok),
+TOKENS_SQL = f"list_filter(regexp_extract_all(lower(coalesce(%s, '')), '{TOKEN}'), lambda t: length(t) >= 2 AND t NOT IN {_STOP})"
+BM25_SQL = f"""WITH tok AS (SELECT doc_id AS id, {TOKENS_SQL % 'text'} AS ts FROM documents), n AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1e-9) AS avgdl FROM tok),
 post AS (SELECT id, term, dl, count(*) AS tf FROM (SELECT id, unnest(ts) AS term, len(ts) AS dl FROM tok) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
-q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT doc_id AS qid, unnest({_TOK % 'title'}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY 1, 2),
+q AS (SELECT qid, term, count(*) AS qtf FROM (SELECT doc_id AS qid, unnest({TOKENS_SQL % 'title'}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY 1, 2),
 bm AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN df USING (term) JOIN post USING (term), n GROUP BY 1, 2)"""
 _VEC = """e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
 vs AS (SELECT q.id AS qid, c.id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM e q JOIN e c ON q.id % 100 = 0 AND q.id <> c.id)"""
@@ -148,7 +148,7 @@ _FUSED = _BOTH + f""", p AS (SELECT qid, id, 1 / (60 + rank) + score / max(score
 
 QUERIES = {f.__name__: f for f in (bm25_terms, bm25_search, index_search, vector_search, hybrid_rrf, hybrid_scores, fusion_grid, merged_hits, wiki_first, gathered_units, chunk_neighbours, retrieval_metrics, answer_citations)}
 SQL = {
-    "bm25_terms": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({_TOK % 'text'})) AS term FROM documents) GROUP BY 1",
+    "bm25_terms": f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({TOKENS_SQL % 'text'})) AS term FROM documents) GROUP BY 1",
     "bm25_search": BM25_SQL + f" SELECT * FROM {_top('(SELECT * FROM bm WHERE score > 0)', 10)}",
     "vector_search": "WITH " + _VEC + f" SELECT * FROM {_top('vs', 10)}",
     "hybrid_rrf": _BOTH + f", f AS (SELECT qid, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2) SELECT * FROM {_top('f', 10)}",
@@ -158,11 +158,11 @@ SQL = {
       f AS (SELECT k, CAST(weight AS DOUBLE) AS weight, candidates, qid, id, round(sum(1 / (k + rank) + CASE WHEN best > 0 THEN CAST(weight AS DOUBLE) * score / best ELSE 0 END), 6) AS score FROM p JOIN g ON rank <= candidates GROUP BY 1, 2, 3, 4, 5)
       SELECT *, row_number() OVER (PARTITION BY k, weight, candidates, qid ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 10""",
     "merged_hits": BM25_SQL.replace("q AS (", f"x AS (SELECT doc_id, title, list_transform(regexp_extract_all(coalesce(title, ''), '{Q.EXACT}'), lambda e: regexp_replace(e, '^[\"«»]+|[\"«»]+$', '', 'g')) AS ex FROM documents WHERE doc_id % 100 = 0), q AS (") + f""",
-      q2 AS (SELECT qid, term, count(*) AS qtf FROM (SELECT doc_id AS qid, unnest({_TOK % "CASE WHEN len(ex) > 0 THEN array_to_string(ex, ' ') ELSE title END"}) AS term FROM x) GROUP BY 1, 2),
+      q2 AS (SELECT qid, term, count(*) AS qtf FROM (SELECT doc_id AS qid, unnest({TOKENS_SQL % "CASE WHEN len(ex) > 0 THEN array_to_string(ex, ' ') ELSE title END"}) AS term FROM x) GROUP BY 1, 2),
       bm2 AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q2 JOIN df USING (term) JOIN post USING (term), n GROUP BY 1, 2),
       h AS (SELECT * FROM {_top('(SELECT * FROM bm WHERE score > 0)', 60)} UNION ALL SELECT * FROM {_top('(SELECT * FROM bm2 WHERE score > 0)', 60)}),
       m AS (SELECT qid, id, max(score) AS score FROM h GROUP BY 1, 2), t AS {_top('m', 60)},
-      s AS (SELECT t.*, len(list_intersect(list_distinct({_TOK % 'q.title'}), {_TOK % 'd.text'})) AS shared FROM t JOIN documents q ON q.doc_id = qid JOIN documents d ON d.doc_id = id),
+      s AS (SELECT t.*, len(list_intersect(list_distinct({TOKENS_SQL % 'q.title'}), {TOKENS_SQL % 'd.text'})) AS shared FROM t JOIN documents q ON q.doc_id = qid JOIN documents d ON d.doc_id = id),
       o AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY shared < 2, CASE WHEN shared >= 2 THEN -shared END, rank, id) AS rank FROM s) SELECT * FROM o WHERE rank <= 28""",
     "wiki_first": BM25_SQL + f""", wtok AS (SELECT tok.* FROM tok JOIN documents ON doc_id = id WHERE doc_kind = 'markdown'), wn AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1e-9) AS avgdl FROM wtok),
       wpost AS (SELECT post.* FROM post JOIN documents ON doc_id = id WHERE doc_kind = 'markdown'), wdf AS (SELECT term, count(*) AS df FROM wpost GROUP BY 1),

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import answers as A
 from lexmill.operators import chunking as C
+from lexmill.operators.answers import extract_answers
 from lexmill.operators.context import contexts
 from lexmill.operators.lexical import fit, search
 from lexmill.operators.models import embed_chunks, map_chunks
 from lexmill.operators.vectors import nearest
-from lexmill.plans.retrieval import BM25_SQL
-from lexmill.session import table
+from lexmill.plans.retrieval import BM25_SQL, TOKENS_SQL
+from lexmill.session import materialise, table
 from lexmill.sources.records import record_rows
 
 
@@ -77,7 +78,15 @@ def answer_contexts(spark, root):
     return contexts(full.select("qid", "chunk_id", "source_path", "text", "score", "rank"))
 
 
-QUERIES = {f.__name__: f for f in (window_chunks, packed_lines, semantic_chunks, flash_cards, ungrounded_titles, json_record_rows, rule_map, embedded_search, answer_contexts)}
+def extracted_answers(spark, root):
+    """Answers by rule to the title of every hundredth document, with cited sentences, checked against their contexts."""
+    d = table(spark, root, "documents")
+    chosen = answer_contexts(spark, root).join(d.select(F.col("doc_id").cast("string").alias("chunk_id"), "text"), "chunk_id").select("qid", "n", "text")
+    asked = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("title").alias("text"))
+    return extract_answers(asked, materialise(chosen, "contexts")).select("qid", "answer", "refused", F.size("missing").alias("n_missing"))
+
+
+QUERIES = {f.__name__: f for f in (extracted_answers, window_chunks, packed_lines, semantic_chunks, flash_cards, ungrounded_titles, json_record_rows, rule_map, embedded_search, answer_contexts)}
 # the matcher's word borders are ASCII ones, so the border before a compound is spelled out
 _COMPOUND = r"(?:^|[^\pL\pN_])([A-Za-z0-9]+(?:[._\-/@][A-Za-z0-9]+)+)"
 _DATES = r"\b\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b"
@@ -126,9 +135,9 @@ _CONTEXTS = BM25_SQL + rf""", t AS (SELECT qid, id, score, row_number() OVER (PA
   e AS (SELECT *, row_number() OVER (PARTITION BY qid, source_path ORDER BY rank) > 5 AS held FROM d),
   s AS (SELECT *, sum(tokens) OVER (PARTITION BY qid, held ORDER BY rank) AS total, count(*) OVER (PARTITION BY qid, held ORDER BY rank) AS c FROM e),
   f AS (SELECT *, NOT held AND (total <= 8000 OR c = 1) AND c <= 12 AS fits FROM s),
-  o AS (SELECT *, sum(tokens) FILTER (fits) OVER (PARTITION BY qid) AS used, count(*) FILTER (fits) OVER (PARTITION BY qid) AS taken, min(rank) FILTER (NOT held AND NOT fits) OVER (PARTITION BY qid) AS stop FROM f)
-  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY held, rank) AS INT) AS n, chunk_id, source_path, score FROM o
-  WHERE fits OR (held AND (stop IS NULL OR rank < stop) AND used + total <= 8000 AND taken + c <= 12)"""
+  o AS (SELECT *, sum(tokens) FILTER (fits) OVER (PARTITION BY qid) AS used, count(*) FILTER (fits) OVER (PARTITION BY qid) AS taken, min(rank) FILTER (NOT held AND NOT fits) OVER (PARTITION BY qid) AS stop FROM f),
+  cx AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY held, rank) AS INT) AS n, chunk_id, source_path, score FROM o
+  WHERE fits OR (held AND (stop IS NULL OR rank < stop) AND used + total <= 8000 AND taken + c <= 12))"""
 SQL = {
     "json_record_rows": """WITH l AS (SELECT doc_id || '.jsonl' AS source_path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_kind = 'record' AND text IS NOT NULL),
       j AS (SELECT source_path, i, CAST(x AS JSON) AS j FROM l WHERE json_valid(x) AND json_type(CAST(x AS JSON)) = 'OBJECT'), k AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS n FROM j)
@@ -138,7 +147,13 @@ SQL = {
       SELECT chunk_id, count(*) AS n_findings FROM s WHERE list_has_any(regexp_extract_all(lower(x), '[\pL\pN_]{3,}'), ['broken', 'citations', 'unlabelled', 'tables']) GROUP BY 1""",
     "packed_lines": _LINES,
     "semantic_chunks": _CHUNKS,
-    "answer_contexts": _CONTEXTS,
+    "answer_contexts": _CONTEXTS + " SELECT * FROM cx",
+    "extracted_answers": _CONTEXTS + rf""", qs AS (SELECT doc_id AS qid, list_distinct({TOKENS_SQL % 'title'}) AS words FROM documents WHERE doc_id % 100 = 0),
+      ps AS (SELECT qid, n, string_split(regexp_replace(array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: NOT regexp_matches(y, {_HEADERS})), chr(10)), '([.!?])\s+|\n', '\1' || chr(31), 'g'), chr(31)) AS l FROM cx JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id),
+      ss AS (SELECT qid, n, generate_subscripts(l, 1) AS pos, trim(unnest(l), ' ') AS s FROM ps), sh AS (SELECT ss.*, len(list_intersect(list_distinct({TOKENS_SQL % 's'}), words)) AS shared FROM ss JOIN qs USING (qid) WHERE s <> ''),
+      so AS (SELECT * FROM sh WHERE shared >= 2 QUALIFY row_number() OVER (PARTITION BY qid, s ORDER BY shared DESC, n, pos) = 1), sb AS (SELECT * FROM so QUALIFY row_number() OVER (PARTITION BY qid ORDER BY shared DESC, n, pos) <= 3),
+      sa AS (SELECT qid, string_agg(s || ' [' || n || ']', ' ' ORDER BY n, pos, s) AS answer FROM sb GROUP BY 1)
+      SELECT qid, coalesce(answer, 'В источниках блокнота нет ответа на этот вопрос.') AS answer, answer IS NULL AS refused, 0 AS n_missing FROM qs LEFT JOIN sa USING (qid)""",
     "window_chunks": """WITH s AS (SELECT doc_id, text, unnest(range(0, greatest(0, length(text) - 200 - 1) + 1, 600)) AS a FROM documents WHERE length(text) > 0)
       SELECT doc_id, CAST(a / 600 AS INT) AS chunk_index, md5(substring(text, a + 1, 800)) AS h FROM s""",
     "flash_cards": """WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?m)^Q: (.+)\\nA: (.+)$') AS l FROM documents WHERE doc_kind = 'qa' AND text IS NOT NULL), u AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS n FROM p)

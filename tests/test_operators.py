@@ -2,11 +2,14 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.functions import answers as A
 from lexmill.operators import chunking as C
 from lexmill.operators import lexical as L
+from lexmill.operators import models as M
+from lexmill.operators.answers import checked, extract_answers
 from lexmill.operators.context import contexts
 from lexmill.operators.models import HashEmbed, OverlapRerank, RuleMap, embed_chunks, map_chunks
 from lexmill.operators.vectors import nearest
@@ -168,3 +171,45 @@ def test_corpus_index_builds_appends_and_rebuilds(spark, tmp_path):
     assert {r.source_path for r in index.search(asked, 1, embed=broken).collect()} == {"a.txt", "b.txt"}
     assert index.update(files(a, c))[1] is False and index.stats()["sources"] == 1  # b is gone, so all is built anew
     assert CorpusIndex(spark, index.root, budget=20, overlap=0).update(files(a, c))[1] is False
+
+
+def test_model_calls_are_tried_again(spark):
+    waits, left = [], [2]
+
+    def shaky(x):
+        if left[0]:
+            left[0] -= 1
+            raise OSError("busy")
+        return x + 1
+
+    assert M.retrying(shaky, sleep=waits.append)(1) == 2 and len(waits) == 2 and 1 <= waits[0] < waits[1] <= 2.5
+    left[0] = 9
+    with pytest.raises(OSError):
+        M.retrying(shaky, tries=2, sleep=waits.append)(1)
+
+    class Broken:
+        def score(self, query, text):
+            raise ValueError
+
+    chunks = spark.createDataFrame([("a", "red fox"), ("b", None)], "chunk_id string, text string")
+    assert {r.chunk_id: r.score for r in M.scout_chunks(chunks, "a red hen").collect()} == {"a": 0.5, "b": 0.0}
+    with pytest.raises(ValueError):
+        M.retrying(Broken().score, 1)("q", "t")
+
+
+def test_expansions(spark):
+    asked = spark.createDataFrame([(1, "Who broke db-node-07 yesterday?"), (2, None)], "qid bigint, text string")
+    got = {}
+    for r in M.expand_questions(asked).orderBy("qid", "n").collect():
+        got.setdefault(r.qid, []).append(r.text)
+    assert got == {1: ["Who broke db-node-07 yesterday?", "db-node-07", "yesterday"], 2: [""]}
+
+
+def test_answers_by_rule(spark):
+    asked = spark.createDataFrame([(1, "river mill figures"), (2, "nothing here")], "qid bigint, text string")
+    found = spark.createDataFrame([(1, 1, "The river mill stands. Figures of the mill and river rose."), (1, 2, "[FILE_PATH: x]\nOther words."), (2, 1, None)], "qid bigint, n int, text string")
+    got = {r.qid: r for r in extract_answers(asked, found).collect()}
+    assert got[1].answer == "The river mill stands. [1] Figures of the mill and river rose. [1]" and not got[1].refused
+    assert got[2].refused and got[2].missing == []
+    other = spark.createDataFrame([(1, "Seen at db-node-07 [1]", False)], "qid bigint, answer string, refused boolean")
+    assert checked(other, found).first().missing == ["db-node-07"]
