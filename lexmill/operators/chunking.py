@@ -41,8 +41,26 @@ def bounds(sizes: Column, budget: int, overlap: bool = False) -> Column:
 
 
 def packed(units: Column, budget: int, separator: str, overlap: bool = False) -> Column:
-    """Whole units joined into runs under the budget."""
-    return F.transform(bounds(F.transform(units, count_tokens), budget, overlap), lambda b: F.array_join(F.slice(units, b["lo"] + 1, b["hi"] - b["lo"]), separator))
+    """Whole units joined into runs, as of ``bounds``; one fold, in which ``units`` stand once, so they are made once."""
+    sized = F.transform(units, lambda x: F.struct(x.alias("x"), count_tokens(x).cast("bigint").alias("n")))
+    none = F.lit(None).cast("string")
+    zero = F.lit(0).cast("bigint")
+    state = F.struct(F.array().cast("array<string>").alias("done"), none.alias("now"), zero.alias("fill"), none.alias("last"), zero.alias("last_n"))
+
+    def step(s: Column, u: Column) -> Column:
+        some, large = s["now"].isNotNull(), u["n"] > budget
+        full = some & (s["fill"] + u["n"] > budget)
+        closed = F.concat(s["done"], F.array(s["now"]))
+        again = F.lit(overlap)
+        return F.struct(
+            F.when(large, F.concat(F.when(some, closed).otherwise(s["done"]), F.array(u["x"]))).when(full, closed).otherwise(s["done"]).alias("done"),
+            F.when(large, none).when(full & again, F.concat(s["last"], F.lit(separator), u["x"])).when(full | ~some, u["x"]).otherwise(F.concat(s["now"], F.lit(separator), u["x"])).alias("now"),
+            F.when(large, zero).when(full & again, s["last_n"] + u["n"]).when(full, u["n"]).otherwise(s["fill"] + u["n"]).alias("fill"),
+            u["x"].alias("last"),
+            u["n"].alias("last_n"),
+        )
+
+    return F.aggregate(sized, state, step, lambda s: F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
 
 
 def packed_groups(sizes: Column, budget: int) -> Column:
