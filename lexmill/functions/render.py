@@ -77,3 +77,40 @@ def table_answer(answer: Column) -> Column:
     rest = F.filter(F.transform(F.slice(lines, 2, 1 << 30), cells), lambda c: F.size(c) == F.size(head))
     by_line = F.transform(rest, lambda c: F.map_from_arrays(head, c))
     return F.when(plain.startswith("["), F.from_json(plain, "array<map<string,string>>")).when(F.size(lines) > 0, by_line).otherwise(F.array().cast("array<map<string,string>>"))
+
+
+def unit_line(n: Column, text: Column, is_neighbour: Column, letters: int = 1100) -> Column:
+    """Numbered passage of a batch; neighbours are marked, long ones cut."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    cut = F.when(F.length(t) > letters, F.concat(F.substring(t, 1, letters), F.lit("…"))).otherwise(t)
+    return F.concat(F.lit("["), n.cast("string"), F.lit("]"), F.when(is_neighbour, " (context) ").otherwise(" "), cut)
+
+
+def plan_summary(plan: Column) -> Column:
+    """A query plan (struct of ``query_plan.plan``) on one line."""
+    entities = F.aggregate(F.map_values(plan["entities"]), F.lit(0), lambda a, v: a + F.size(v))
+    return F.concat_ws(
+        " ",
+        F.concat(F.lit("intent="), plan["intent"]),
+        F.concat(F.lit("out="), plan["style"]),
+        F.concat(F.lit("group_by="), plan["group_by"], F.lit("->"), plan["axis"]),
+        F.concat(F.lit("fields="), F.array_join(plan["fields"], ",")),
+        F.when(F.size(plan["key_terms"]) > 0, F.concat(F.lit("terms="), F.array_join(F.slice(plan["key_terms"], 1, 6), ","))),
+        F.when(entities > 0, F.concat(F.lit("entities="), entities)),
+    )
+
+
+def card_sheet(cards: Column) -> Column:
+    """Cards (``front``, ``back``) as a Markdown sheet."""
+    one = F.transform(cards, lambda c, i: F.concat(F.lit("**"), i + 1, F.lit(". "), c["front"], F.lit("**\n\n"), c["back"], F.lit("\n")))
+    return F.concat(F.lit("# Flash cards\n\n"), F.array_join(one, "\n"))
+
+
+def markdown_table(rows: Column) -> Column:
+    """Rows (arrays of cells) as a Markdown table, the first one its head; bars are escaped, short rows padded."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    lines = F.transform(rows, line)
+    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, 1 << 30)), "\n")).otherwise("")

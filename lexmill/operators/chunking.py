@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +105,37 @@ def chunk_documents(documents: DataFrame, budget: int = 800, overlap: int = 100)
 def window_chunks(documents: DataFrame, budget: int, overlap: int) -> DataFrame:
     """``windows`` of every document: ``doc_id, chunk_index, text``."""
     return documents.filter(F.length("text") > 0).select("doc_id", F.posexplode(windows(F.col("text"), budget, overlap)).alias("chunk_index", "text"))
+
+
+def file_parts(documents: DataFrame, most_tokens: int = 80_000) -> DataFrame:
+    """``doc_id, part, n_parts, text``: documents above the limit in parts of that many tokens, others whole."""
+    parts = F.when(count_tokens(F.col("text")) > most_tokens, windows(F.col("text"), most_tokens, 0)).otherwise(F.array("text"))
+    split = documents.filter(F.length("text") > 0).select("doc_id", parts.alias("parts"))
+    return split.select("doc_id", F.posexplode("parts").alias("i", "text"), F.size("parts").alias("n_parts")).select("doc_id", (F.col("i") + 1).alias("part"), "n_parts", "text")
+
+
+def table_texts(rows: DataFrame, rows_per_batch: int) -> DataFrame:
+    """``n_rows, text``: rows of a table in batches as tab-separated text under the names of its columns.
+
+    Batches are cut within tasks, so no order over the whole table is needed; each row is in one batch.
+    """
+    names = rows.columns
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+
+        def out() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int32()), pa.array(["\n".join(["\t".join(names), *held])])], names=["n_rows", "text"])
+            held.clear()
+            return done
+
+        for b in batches:
+            for line in b.column("line").to_pylist():
+                held.append(line)
+                if len(held) == rows_per_batch:
+                    yield out()
+        if held:
+            yield out()
+
+    plain = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names])
+    return rows.select(plain.alias("line")).mapInArrow(cut, "n_rows int, text string")

@@ -53,3 +53,22 @@ def fan_in(items: DataFrame, size: int = 10) -> DataFrame:
     most = F.max("n").over(Window.partitionBy("qid"))
     levels = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log(F.greatest(F.col("most"), F.lit(2)).cast("double")) / F.log(F.lit(float(size))) - 1e-9).cast("int"))), lambda level: F.floor((F.col("n") - 1) / F.pow(F.lit(float(size)), level)).cast("int") + 1)
     return items.withColumn("most", most).withColumn("level_groups", levels).drop("most")
+
+
+def reduce_notes(notes: DataFrame, size: int = 10, depth: int = 6) -> DataFrame:
+    """``qid, text``: notes (``qid, n, text``, n from 1) of each question merged by ``size``, level by level, to one.
+
+    By rule a merge keeps each line once, in order. ``depth`` bounds the levels; what is
+    then left is merged at once. A group never holds more than ``size`` notes before that.
+    """
+    level = notes.select("qid", "n", "text")
+    most = notes.groupBy("qid").count().agg(F.max("count")).first()[0] or 0
+    for at in range(depth):
+        if most <= 1:
+            break
+        width = size if at < depth - 1 else most
+        group = F.floor((F.col("n") - 1) / width).cast("int") + 1
+        lines = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: F.split(F.coalesce(x["text"], F.lit("")), "\n")))
+        level = level.groupBy("qid", group.alias("n")).agg(F.array_join(F.array_distinct(F.filter(lines, lambda x: F.trim(x) != "")), "\n").alias("text"))
+        most = -(-most // width)
+    return level.select("qid", "text")

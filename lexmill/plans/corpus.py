@@ -80,7 +80,7 @@ def run_plans(spark, root):
     """Grouping, keys, style, fields and terms planned for each run's query."""
     r = table(spark, root, "runs").filter("query_text is not null").select("run_id", "query_text").distinct().withColumn("p", Q.plan(F.col("query_text")))
     join = lambda c: F.array_join(f"p.{c}", ",").alias(c)
-    return r.select("run_id", "p.group_by", "p.axis", join("dedup_keys"), "p.style", join("fields"), join("key_terms"), "p.lexical_query")
+    return r.select("run_id", "p.group_by", "p.axis", join("dedup_keys"), "p.style", join("fields"), F.array_join("p.key_terms", " | ").alias("key_terms"), "p.lexical_query")
 
 
 def run_entities(spark, root):
@@ -221,7 +221,7 @@ SQL = {
         lambda x: length(x) >= 3 AND lower(x) NOT IN ({_SMALL})) AS pool, list_transform(regexp_extract_all(t, '{Q.EXACT}'), lambda x: regexp_replace(x, '^["«»]+|["«»]+$', '', 'g')) AS exact FROM a),
       k AS (SELECT *, list_transform(pool, lambda x: lower(x)) AS lows FROM p)
       SELECT run_id, by_word AS group_by, axis, CASE WHEN axis IS NOT NULL THEN axis || ',item' WHEN intent IN ('compare', 'prioritize') THEN 'item,source' ELSE 'category,item' END AS dedup_keys,
-        {_CASE('intent', Q.STYLES)} AS style, {_CASE('intent', Q.FIELDS)} AS fields, array_to_string(list_slice(list_filter(pool, lambda x, i: list_position(lows, lower(x)) = i), 1, 24), ',') AS key_terms,
+        {_CASE('intent', Q.STYLES)} AS style, {_CASE('intent', Q.FIELDS)} AS fields, array_to_string(list_slice(list_filter(pool, lambda x, i: list_position(lows, lower(x)) = i), 1, 24), ' | ') AS key_terms,
         CASE WHEN len(exact) > 0 THEN array_to_string(exact, ' ') ELSE t END AS lexical_query FROM k""",
     "run_entities": "WITH r AS (SELECT DISTINCT run_id, query_text AS t FROM runs) " + " UNION ALL ".join(f"SELECT run_id, '{k}' AS kind, unnest(list_distinct({'list_filter(' if k == 'id' else ''}regexp_extract_all(coalesce(t, ''), '{p}'){', lambda e: regexp_matches(e, chr(92) || chr(100)))' if k == 'id' else ''})) AS entity FROM r" for k, p in _KINDS.items()),
     "run_previous": f"WITH {_PLACE} SELECT run_id, lag(run_id) OVER (PARTITION BY place ORDER BY made, run_id) AS previous_run_id FROM place",

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 from lexmill.functions import answers as A
 from lexmill.functions import render as R
 from lexmill.functions import text as T
+from lexmill.operators import chunking as C
 from lexmill.operators import planning as P
 from lexmill.operators.chunking import chunk_documents
+from lexmill.operators.query_plan import plan
 from lexmill.operators.snapshots import change_notes
+from lexmill.plans import corpus, retrieval, texts
 from lexmill.plans.corpus import RELEVANCE_SQL, TERMS
+from lexmill.plans.retrieval import gathered_units
 from lexmill.plans.snapshots import CHANGES_SQL, p4_found
-from lexmill.plans.texts import chunks_sql
+from lexmill.plans.texts import chunks_sql, flash_cards
 from lexmill.session import table
 from lexmill.sources.chats import messages
 from lexmill.sources.files import file_title, format_name
+from lexmill.sources.records import record_chunks, record_rows
 
 
 def _docs(spark, root):
@@ -130,7 +135,38 @@ def corpus_size(spark, root):
     return d.select("lang", P.is_large(F.col("n_files"), F.col("n_bytes")).alias("is_large"), (F.col("longest") >= P.STREAMED).alias("streamed"))
 
 
-QUERIES = {f.__name__: f for f in (chat_imports, file_titles, built_chunks, chunk_citations, page_summaries, header_sample, table_rows, index_stats, judge_tally, pending_chunks, run_change_notes, relevant_files, run_predicates, corpus_size)}
+def file_parts(spark, root):
+    """Documents above 300 tokens in parts, as hash."""
+    return C.file_parts(_docs(spark, root), 300).select("doc_id", "part", "n_parts", F.md5("text").alias("h"))
+
+
+def record_chunk_texts(spark, root):
+    """Records of record documents packed whole under 200 tokens, as hash."""
+    d = _docs(spark, root).filter("doc_kind = 'record'").select(F.concat("doc_id", F.lit(".jsonl")).alias("source_path"), "text")
+    return record_chunks(record_rows(d), 200).select("source_path", "chunk_index", F.md5("text").alias("h"))
+
+
+def batch_texts(spark, root):
+    """Batches of gathered chunks as numbered text, as hash and length."""
+    units = gathered_units(spark, root).join(table(spark, root, "document_chunks").groupBy("chunk_id").agg(F.min("text").alias("text")), "chunk_id")
+    line = R.unit_line(F.col("n"), F.col("text"), F.col("is_neighbour"))
+    return units.groupBy("source_path", "batch").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))).alias("l")).select("source_path", "batch", F.md5(F.array_join(F.transform("l", lambda x: x["t"]), "\n\n")).alias("h"))
+
+
+def plan_summaries(spark, root):
+    """Plan of each run's query on one line."""
+    r = table(spark, root, "runs").filter("query_text is not null").select("run_id", "query_text").distinct().withColumn("p", plan(F.col("query_text")))
+    return r.select("run_id", R.plan_summary(F.col("p")).alias("summary"))
+
+
+def card_sheets(spark, root):
+    """Cards of each qa document as a Markdown sheet, as hash and length."""
+    cards = flash_cards(spark, root).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "front", "back"))).alias("c"))
+    sheet = R.card_sheet(F.col("c"))
+    return cards.select("doc_id", F.md5(sheet).alias("h"), F.length(sheet).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (file_parts, record_chunk_texts, batch_texts, plan_summaries, card_sheets, chat_imports, file_titles, built_chunks, chunk_citations, page_summaries, header_sample, table_rows, index_stats, judge_tally, pending_chunks, run_change_notes, relevant_files, run_predicates, corpus_size)}
 
 _HEADERS = r"'^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|SOURCE_TITLE|VISION_FILE|Файл)\b'"
 _FORMAT = "CASE lower(regexp_extract(f, '[^/]\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"md": "Markdown", "txt": "plain text", "log": "log file", "html": "HTML document", "htm": "HTML document", "csv": "CSV table", "json": "JSON data", "pdf": "PDF document", "docx": "DOCX document", "xml": "XML data", "xlsx": "Excel table", "rtf": "RTF document", "eml": "EML file"}.items()) + " ELSE upper(regexp_extract(f, '[^/]\\.([^./]+)$', 1)) || ' file' END"
@@ -145,6 +181,21 @@ SQL = {
       s AS (SELECT doc_id, who, count(*) AS k FROM b WHERE n <= 80 AND who <> '' GROUP BY 1, 2), q AS (SELECT doc_id, sum(k) AS hits, count(*) AS senders, max(k) AS most FROM s GROUP BY 1),
       t AS (SELECT doc_id, count(*) AS lines, count(*) FILTER (who <> '') AS n_messages, count(DISTINCT who) FILTER (who <> '') AS n_senders FROM b GROUP BY 1)
       SELECT * FROM p UNION ALL SELECT doc_id, 'log', n_messages, n_senders FROM t JOIN q USING (doc_id) WHERE lines >= 5 AND hits >= 6 AND hits >= 0.6 * least(lines, 80) AND senders >= 2 AND most >= 2""",
+    "file_parts": """WITH d AS (SELECT doc_id, text, CASE WHEN length(text) // 4 > 300 THEN CAST(ceil(length(text) / 1200) AS INT) ELSE 1 END AS n_parts FROM documents WHERE length(text) > 0), p AS (SELECT *, unnest(range(1, n_parts + 1)) AS part FROM d)
+      SELECT doc_id, CAST(part AS INT) AS part, n_parts, md5(CASE WHEN n_parts = 1 THEN text ELSE substring(text, (part - 1) * 1200 + 1, 1200) END) AS h FROM p""",
+    "record_chunk_texts": r"""WITH RECURSIVE l AS (SELECT doc_id || '.jsonl' AS source_path, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE doc_kind = 'record' AND text IS NOT NULL),
+      j AS (SELECT source_path, i, CAST(x AS JSON) AS j FROM l WHERE json_valid(x) AND json_type(CAST(x AS JSON)) = 'OBJECT'), k AS (SELECT *, count(*) OVER (PARTITION BY source_path) AS c, row_number() OVER (PARTITION BY source_path ORDER BY i) AS n FROM j),
+      e AS (SELECT source_path, n, i, unnest(json_keys(j)) AS key, generate_subscripts(json_keys(j), 1) AS o, j FROM k WHERE c >= 2), v AS (SELECT *, trim(regexp_replace(json_extract_string(j, '$."' || key || '"'), '\s+', ' ', 'g'), ' ') AS val FROM e),
+      t AS (SELECT source_path, n, '- record @ line[' || any_value(i) || ']' || coalesce(chr(10) || string_agg('  ' || key || ': ' || CASE WHEN length(val) > 300 THEN left(val, 300) || '…' ELSE val END, chr(10) ORDER BY o) FILTER (coalesce(val, '') <> ''), '') AS x FROM v GROUP BY 1, 2),
+      u AS (SELECT *, greatest(1, length(x) // 4) AS t FROM t), r AS (SELECT source_path, n, x, 1 AS g, CASE WHEN t > 200 THEN 0 ELSE t END AS fill, t > 200 AS alone FROM u WHERE n = 1
+        UNION ALL SELECT u.source_path, u.n, u.x, CASE WHEN u.t > 200 OR r.alone OR r.fill + u.t > 200 THEN r.g + 1 ELSE r.g END, CASE WHEN u.t > 200 THEN 0 WHEN r.alone OR r.fill + u.t > 200 THEN u.t ELSE r.fill + u.t END, u.t > 200 FROM r JOIN u ON u.source_path = r.source_path AND u.n = r.n + 1)
+      SELECT source_path, CAST(g - 1 AS INT) AS chunk_index, md5(string_agg(x, chr(10) ORDER BY n)) AS h FROM r GROUP BY 1, 2""",
+    "batch_texts": f"""WITH gu AS ({retrieval.SQL['gathered_units']}), c AS (SELECT chunk_id, min(text) AS text FROM document_chunks GROUP BY 1), t AS (SELECT gu.*, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS x FROM gu JOIN c USING (chunk_id))
+      SELECT source_path, batch, md5(string_agg('[' || n || ']' || CASE WHEN is_neighbour THEN ' (context) ' ELSE ' ' END || CASE WHEN length(x) > 1100 THEN left(x, 1100) || '…' ELSE x END, chr(10) || chr(10) ORDER BY n)) AS h FROM t GROUP BY 1, 2""",
+    "plan_summaries": f"""WITH p AS ({corpus.SQL['run_plans']}), q AS (SELECT run_id, q.intent, e.n FROM ({corpus.SQL['run_queries']}) q LEFT JOIN (SELECT run_id, sum(least(c, 20)) AS n FROM (SELECT run_id, kind, count(*) AS c FROM ({corpus.SQL['run_entities']}) GROUP BY 1, 2) GROUP BY 1) e USING (run_id))
+      SELECT run_id, concat_ws(' ', 'intent=' || intent, 'out=' || style, 'group_by=' || group_by || '->' || axis, 'fields=' || fields, CASE WHEN key_terms <> '' THEN 'terms=' || array_to_string(list_slice(string_split(key_terms, ' | '), 1, 6), ',') END, CASE WHEN n > 0 THEN 'entities=' || CAST(n AS INT) END) AS summary FROM p JOIN q USING (run_id)""",
+    "card_sheets": f"""WITH c AS ({texts.SQL['flash_cards']}), s AS (SELECT doc_id, '# Flash cards' || chr(10) || chr(10) || string_agg('**' || row || '. ' || front || '**' || chr(10) || chr(10) || back || chr(10), chr(10) ORDER BY row) AS x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS row FROM c) GROUP BY 1)
+      SELECT doc_id, md5(x) AS h, length(x) AS n FROM s""",
     "file_titles": rf"""WITH c AS (SELECT source_path, replace(source_path, chr(92), '/') AS f, min(text) AS text FROM document_chunks WHERE source_path IS NOT NULL AND chunk_index = 0 GROUP BY 1),
       h AS (SELECT *, left(coalesce(text, ''), 4096) AS head, lower(regexp_extract(f, '[^/]\.([^./]+)$', 1)) AS s, regexp_replace(regexp_extract(f, '([^/]+?)(\.[^./]+)?$', 1), '[_-]', ' ', 'g') AS stem FROM c),
       i AS (SELECT *, regexp_extract(head, '(?m)^[ \t]*(\S.*?)\s*$', 1) AS line, string_split(head, chr(10))[1] AS first FROM h),

@@ -8,11 +8,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lexmill.operators.chunking import packed
 
 # A container of so many scalars is itself a record; deepest level looked at.
 RICH, DEEPEST = 6, 10
-RECORDS = "source_path string, place string, record map<string,string>"
+RECORDS = "source_path string, n int, place string, record map<string,string>"
 
 
 def _objects(v) -> bool:
@@ -139,13 +142,28 @@ def records_of(name: str, text: str, least: int = 2, most_letters: int = 200 <<
 
 
 def record_rows(files: DataFrame) -> DataFrame:
-    """Records of all files (``source_path, text``) as ``source_path, place, record``; files without records give none."""
+    """Records of all files (``source_path, text``) as ``source_path, n, place, record``, numbered in each; files without records give none."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, place, [(k, show(v, 300)) for k, v in rec.items() if v is not None]) for p, t in zip(b.column("source_path").to_pylist(), b.column("text").to_pylist(), strict=True) if p and t for place, rec in records_of(p, t) or []]
+            rows = [(p, n, place, [(k, show(v, 300)) for k, v in rec.items() if v is not None]) for p, t in zip(b.column("source_path").to_pylist(), b.column("text").to_pylist(), strict=True) if p and t for n, (place, rec) in enumerate(records_of(p, t) or [], 1)]
             if rows:
-                a, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(d, pa.map_(pa.string(), pa.string()))], names=["source_path", "place", "record"])
+                a, n, c, d = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n, pa.int32()), pa.array(c), pa.array(d, pa.map_(pa.string(), pa.string()))], names=["source_path", "n", "place", "record"])
 
     return files.select("source_path", "text").mapInArrow(apply, RECORDS)
+
+
+def record_text(place: Column, record: Column) -> Column:
+    """Record as lines; blank values are left out."""
+    filled = F.filter(F.map_entries(record), lambda e: F.trim(F.coalesce(e["value"], F.lit(""))) != "")
+    return F.array_join(F.concat(F.array(F.concat(F.lit("- record @ "), place)), F.transform(filled, lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"]))), "\n")
+
+
+def record_chunks(records: DataFrame, budget: int = 800) -> DataFrame:
+    """``source_path, chunk_index, text``: whole records of each file in order, packed under the budget (at least 200 tokens).
+
+    A file holds a bounded number of records (see ``records_of``); a larger record is alone.
+    """
+    lines = records.groupBy("source_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", record_text(F.col("place"), F.col("record")).alias("t")))), lambda x: x["t"]).alias("units"))
+    return lines.select("source_path", F.posexplode(packed(F.col("units"), max(200, budget), "\n")).alias("chunk_index", "text"))

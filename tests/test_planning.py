@@ -1,9 +1,12 @@
 from pyspark.sql import functions as F
 
 from lexmill.functions import render as R
+from lexmill.operators import chunking as C
 from lexmill.operators import planning as P
+from lexmill.operators.context import reduce_notes
 from lexmill.operators.snapshots import change_notes
 from lexmill.session import clear, materialise
+from lexmill.sources.records import record_chunks
 
 
 def test_pending_forgets_old_results(spark):
@@ -47,3 +50,33 @@ def test_clear_removes_own_tables(spark, tmp_path):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_markdown_tables_and_sheets(spark):
+    df = spark.createDataFrame([([["a", "b|c"], ["1"], ["2", None, "x"]],), ([],)], "r array<array<string>>")
+    got = [r.t for r in df.select(R.markdown_table(F.col("r")).alias("t")).collect()]
+    assert got == ["| a | b\\|c |  |\n|---|---|---|\n| 1 |  |  |\n| 2 |  | x |", ""]
+
+
+def test_table_texts_hold_each_row_once(spark):
+    rows = spark.range(0, 100, 1, 3).select("id", F.lit(None).cast("string").alias("empty"))
+    texts = C.table_texts(rows, 7).collect()
+    lines = [x for t in texts for x in t.text.split("\n")[1:]]
+    assert sorted(int(x.split("\t")[0]) for x in lines) == list(range(100))
+    assert all(t.n_rows <= 7 and t.text.startswith("id\tempty\n") for t in texts) and C.table_texts(rows.limit(0), 7).count() == 0
+
+
+def test_notes_are_merged_level_by_level(spark):
+    notes = spark.createDataFrame([(1, i, f"line {i}\nshared") for i in range(1, 124)] + [(2, 1, None)], "qid int, n int, text string")
+    got = {r.qid: r.text.split("\n") for r in reduce_notes(notes, 10).collect()}
+    assert got[1] == ["line 1", "shared", *[f"line {i}" for i in range(2, 124)]] and got[2] == [""]
+    assert {r.qid: len(r.text.split("\n")) for r in reduce_notes(notes, 2, depth=2).collect()}[1] == 124
+    assert reduce_notes(notes.limit(0)).count() == 0
+
+
+def test_record_chunks_keep_order_and_whole_records(spark):
+    rows = [("f", n, f"line[{n}]", {"k": "x" * 300, "e": " "}) for n in range(12)] + [("g", 1, "a", {"k": "y" * 2000})]
+    got = record_chunks(spark.createDataFrame(rows, "source_path string, n int, place string, record map<string,string>"), 200).orderBy("source_path", "chunk_index").collect()
+    f = [r.text for r in got if r.source_path == "f"]
+    assert "\n".join(f).count("- record @ ") == 12 and [f"line[{n}]" in "\n".join(f) for n in range(12)] == [True] * 12 and len(f) == 6 and all("  e:" not in t for t in f)
+    assert len([r for r in got if r.source_path == "g"]) == 1
