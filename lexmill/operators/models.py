@@ -48,8 +48,8 @@ class HashEmbed:
         out = np.zeros((len(texts), self.size))
         for r, t in enumerate(texts):
             for w, n in Counter(_terms(t)).items():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                out[r, h % self.size] += n if (h >> 32) & 1 else -n
+                h = int(hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+                out[r, h % self.size] += n if (h >> 16) & 1 else -n
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
@@ -80,9 +80,9 @@ def embed_chunks(chunks: DataFrame, model: EmbedModel | None = None) -> DataFram
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.embed(b.column("text").to_pylist()), pa.list_(pa.float32()))], names=["id", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(model.embed(b.column("text").to_pylist()), pa.list_(pa.float64()))], names=["id", "vector"])
 
-    return chunks.filter("text is not null").select("id", "text").mapInArrow(apply, "id bigint, vector array<float>")
+    return chunks.filter("text is not null").select("id", "text").mapInArrow(apply, "id bigint, vector array<double>")
 
 
 # Tries and waits of a model call.

@@ -145,6 +145,11 @@ SQL = {
     "rule_map": r"""WITH c AS (SELECT chunk_id, min((source_path, text))[2] AS text FROM document_chunks WHERE text IS NOT NULL GROUP BY 1),
       s AS (SELECT chunk_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n')) AS x FROM c)
       SELECT chunk_id, count(*) AS n_findings FROM s WHERE list_has_any(regexp_extract_all(lower(x), '[\pL\pN_]{3,}'), ['broken', 'citations', 'unlabelled', 'tables']) GROUP BY 1""",
+    "embedded_search": r"""WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\pL\pN_]{3,}')) AS w FROM documents WHERE text IS NOT NULL), c AS (SELECT id, w, count(*) AS n, CAST('0x' || left(md5(w), 8) AS BIGINT) AS h FROM w GROUP BY 1, 2),
+      d AS (SELECT id, h % 64 AS dim, sum(CASE WHEN (h >> 16) & 1 = 1 THEN n ELSE -n END) AS v FROM c GROUP BY 1, 2), n AS (SELECT id, sqrt(sum(v * v)) AS len FROM d GROUP BY 1), a AS (SELECT doc_id AS id FROM documents WHERE text IS NOT NULL),
+      p AS (SELECT q.id AS qid, d.id, sum(q.v * d.v) AS dot FROM d q JOIN d ON d.dim = q.dim AND q.id % 100 = 0 AND q.id <> d.id GROUP BY 1, 2),
+      s AS (SELECT q.id AS qid, b.id, round(coalesce(dot / nullif(x.len * y.len, 0), 0), 6) + 0.0 AS score FROM a q JOIN a b ON q.id % 100 = 0 AND q.id <> b.id LEFT JOIN p ON p.qid = q.id AND p.id = b.id LEFT JOIN n x ON x.id = q.id LEFT JOIN n y ON y.id = b.id)
+      SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10""",
     "packed_lines": _LINES,
     "semantic_chunks": _CHUNKS,
     "answer_contexts": _CONTEXTS + " SELECT * FROM cx",
