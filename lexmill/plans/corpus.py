@@ -23,7 +23,7 @@ def file_relevance(spark, root):
 def corpus_manifest(spark, root):
     """Documents and letters by language."""
     d = table(spark, root, "documents")
-    return d.groupBy(F.coalesce("lang", F.lit("und")).alias("lang")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("bigint").alias("n_chars"))
+    return d.groupBy(F.coalesce("lang", F.lit("und")).alias("lang")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("bigint").alias("n_chars"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("bigint").alias("n_bytes"))
 
 
 def corpus_plan(spark, root):
@@ -200,7 +200,7 @@ RELEVANCE_SQL = f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 0
 QUERIES = {f.__name__: f for f in (file_relevance, corpus_manifest, corpus_plan, scout_filter, chunk_dedup, context_dedup, chunk_ids, chunk_token_check, chunk_lines, run_queries, run_plans, run_entities, run_previous, run_list, job_progress, item_keys, new_documents, judge_votes, chat_messages, plain_markdown, path_labels, host_pages, table_batches)}
 SQL = {
     "file_relevance": RELEVANCE_SQL,
-    "corpus_manifest": "SELECT coalesce(lang, 'und') AS lang, count(*) AS n_files, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM documents GROUP BY 1",
+    "corpus_manifest": "SELECT coalesce(lang, 'und') AS lang, count(*) AS n_files, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars, CAST(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents GROUP BY 1",
     "corpus_plan": """WITH f AS (SELECT strlen(coalesce(text, '')) AS n FROM documents), t AS (SELECT count(*) AS n_files, CAST(sum(n) AS BIGINT) AS n_bytes, CAST(sum(ceil(greatest(1, floor(n / 4)) / 6000)) AS BIGINT) AS n_chunks FROM f),
       u AS (SELECT *, ceil(n_chunks * (1 - (1 - 0.45) * 0.65)) AS n_after_scout FROM t) SELECT *, ceil(n_after_scout * 8 / 4) + n_chunks * 2 AS seconds, CASE WHEN n_chunks > 50000 THEN 'many chunks' WHEN n_bytes > 2000000000 THEN 'large input' ELSE '' END AS warning FROM u""",
     "scout_filter": """WITH l AS (SELECT doc_id, avg(quality) AS q FROM labels GROUP BY 1), v AS (SELECT doc_id, CASE WHEN q <= 1 THEN 0 ELSE round(least(1, greatest(0, CASE WHEN q >= 4 THEN greatest(coalesce(q / 5, 0), 0.45) ELSE coalesce(q / 5, 0) END)), 6) END AS score FROM l)

@@ -23,7 +23,7 @@ from lexmill.plans.snapshots import CHANGES_SQL, p4_found
 from lexmill.plans.texts import chunks_sql, flash_cards
 from lexmill.session import table
 from lexmill.sources.chats import messages
-from lexmill.sources.files import file_title, format_name
+from lexmill.sources.files import file_title, format_name, page_text
 from lexmill.sources.records import record_chunks, record_rows
 
 
@@ -166,7 +166,35 @@ def card_sheets(spark, root):
     return cards.select("doc_id", F.md5(sheet).alias("h"), F.length(sheet).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (file_parts, record_chunk_texts, batch_texts, plan_summaries, card_sheets, chat_imports, file_titles, built_chunks, chunk_citations, page_summaries, header_sample, table_rows, index_stats, judge_tally, pending_chunks, run_change_notes, relevant_files, run_predicates, corpus_size)}
+def nested_record_counts(spark, root):
+    """Records that the shape-driven reader finds in each result written as nested JSON.
+
+    A finding has fewer than six scalars of its own, so its evidence are the records; one without evidence is itself a record.
+    """
+    rows = table(spark, root, "map_sample").dropDuplicates(["result_id"])
+    finding = lambda f: F.struct(f["finding_id"].alias("finding_id"), f["severity"].alias("severity"), f["explanation"].alias("explanation"), F.filter(f["evidence_refs"], lambda r: r.isNotNull()).alias("evidence_refs"))
+    body = F.to_json(F.struct("job_id", F.transform(F.filter("findings", lambda f: f.isNotNull()), finding).alias("findings")))
+    files = rows.select(F.concat("result_id", F.lit(".json")).alias("source_path"), body.alias("text"))
+    return record_rows(files).groupBy("source_path").agg(F.count(F.lit(1)).alias("n_records"), F.countDistinct("place").alias("n_places"))
+
+
+def html_texts(spark, root):
+    """Title and main text read from pages in HTML, here written from fetched_docs with a menu and a footer around."""
+    d = table(spark, root, "fetched_docs").filter("text is not null").groupBy("fetch_id").agg(F.min("text").alias("text"), F.min("title").alias("title"))
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), escape(x), F.lit("</p>"))), "\n")
+    html = F.concat(F.lit("<html><head><title>"), escape(F.coalesce("title", F.lit(""))), F.lit("</title><style>p {}</style></head><body><nav>Home</nav><article>"), lines, F.lit("<script>var a;</script></article><footer>End</footer></body></html>"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            titles, texts = zip(*map(page_text, b.column("html").to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("fetch_id"), pa.array(titles, pa.string()), pa.array(texts, pa.string())], names=["fetch_id", "title", "text"])
+
+    got = d.select("fetch_id", html.alias("html")).mapInArrow(read, "fetch_id bigint, title string, text string")
+    return got.select("fetch_id", "title", F.md5("text").alias("h"), F.length("text").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (nested_record_counts, html_texts, file_parts, record_chunk_texts, batch_texts, plan_summaries, card_sheets, chat_imports, file_titles, built_chunks, chunk_citations, page_summaries, header_sample, table_rows, index_stats, judge_tally, pending_chunks, run_change_notes, relevant_files, run_predicates, corpus_size)}
 
 _HEADERS = r"'^\s*\[(FILE_PATH|FILE_PART|CHUNK_INDEX|FILE_TITLE|FILE_LABELS|FILE_FORMAT|SOURCE_URL|SOURCE_TITLE|VISION_FILE|Файл)\b'"
 _FORMAT = "CASE lower(regexp_extract(f, '[^/]\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"md": "Markdown", "txt": "plain text", "log": "log file", "html": "HTML document", "htm": "HTML document", "csv": "CSV table", "json": "JSON data", "pdf": "PDF document", "docx": "DOCX document", "xml": "XML data", "xlsx": "Excel table", "rtf": "RTF document", "eml": "EML file"}.items()) + " ELSE upper(regexp_extract(f, '[^/]\\.([^./]+)$', 1)) || ' file' END"
@@ -196,6 +224,12 @@ SQL = {
       SELECT run_id, concat_ws(' ', 'intent=' || intent, 'out=' || style, 'group_by=' || group_by || '->' || axis, 'fields=' || fields, CASE WHEN key_terms <> '' THEN 'terms=' || array_to_string(list_slice(string_split(key_terms, ' | '), 1, 6), ',') END, CASE WHEN n > 0 THEN 'entities=' || CAST(n AS INT) END) AS summary FROM p JOIN q USING (run_id)""",
     "card_sheets": f"""WITH c AS ({texts.SQL['flash_cards']}), s AS (SELECT doc_id, '# Flash cards' || chr(10) || chr(10) || string_agg('**' || row || '. ' || front || '**' || chr(10) || chr(10) || back || chr(10), chr(10) ORDER BY row) AS x FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS row FROM c) GROUP BY 1)
       SELECT doc_id, md5(x) AS h, length(x) AS n FROM s""",
+    "nested_record_counts": """WITH r AS (SELECT * FROM map_sample QUALIFY row_number() OVER (PARTITION BY result_id) = 1), f AS (SELECT result_id, unnest(list_filter(findings, lambda f: f IS NOT NULL)) AS f FROM r),
+      n AS (SELECT result_id, len(list_filter(coalesce(f.evidence_refs, []), lambda r: r IS NOT NULL)) AS n FROM f)
+      SELECT result_id || '.json' AS source_path, CAST(sum(greatest(n, 1)) AS BIGINT) AS n_records, count(DISTINCT n > 0) AS n_places FROM n GROUP BY result_id HAVING sum(greatest(n, 1)) >= 2""",
+    "html_texts": r"""WITH d AS (SELECT fetch_id, min(text) AS text, min(title) AS title FROM fetched_docs WHERE text IS NOT NULL GROUP BY 1),
+      l AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[\s\pZ\x1c-\x1f\x{85}]+', ' ', 'g'), ' ')), lambda x: x <> '') AS ls FROM d), t AS (SELECT *, array_to_string(ls, chr(10) || chr(10)) AS x FROM l)
+      SELECT fetch_id, regexp_replace(coalesce(title, ''), '^[\s\pZ]+|[\s\pZ]+$', '', 'g') AS title, md5(x) AS h, length(x) AS n FROM t""",
     "file_titles": rf"""WITH c AS (SELECT source_path, replace(source_path, chr(92), '/') AS f, min(text) AS text FROM document_chunks WHERE source_path IS NOT NULL AND chunk_index = 0 GROUP BY 1),
       h AS (SELECT *, left(coalesce(text, ''), 4096) AS head, lower(regexp_extract(f, '[^/]\.([^./]+)$', 1)) AS s, regexp_replace(regexp_extract(f, '([^/]+?)(\.[^./]+)?$', 1), '[_-]', ' ', 'g') AS stem FROM c),
       i AS (SELECT *, regexp_extract(head, '(?m)^[ \t]*(\S.*?)\s*$', 1) AS line, string_split(head, chr(10))[1] AS first FROM h),
