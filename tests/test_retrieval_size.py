@@ -36,7 +36,7 @@ def exchanged(spark, run) -> int:
     return sum(n for stage, n in written().items() if stage not in before)
 
 
-@pytest.mark.parametrize("name", ["answer_contexts", "extracted_answers", "hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["answer_contexts", "extracted_answers", "hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf", "index_search"])
 def test_pairs_are_not_exchanged(spark, common, name):
     pairs = DOCS * (DOCS // 100)
     assert exchanged(spark, lambda: entry.queries()[name](spark, common).write.format("noop").mode("overwrite").save()) < pairs
