@@ -53,7 +53,7 @@ def wordy(spark, tmp_path_factory):
     return root
 
 
-@pytest.mark.parametrize("name", ["extracted_answers", "hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["extracted_answers", "hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf", "index_search"])
 def test_postings_are_not_exchanged(spark, wordy, name):
     assert exchanged(spark, lambda: entry.queries()[name](spark, wordy).write.format("noop").mode("overwrite").save()) < 12 * DOCS
 
