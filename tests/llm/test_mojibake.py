@@ -116,3 +116,16 @@ def test_texts_garbled_on_purpose_are_restored(sf):
         tried += 1
         right += restorer.text(garbled)[0] == t
     assert tried and right >= 0.9 * tried, (right, tried)
+
+
+def test_dictionaries_are_fitted_on_all_rows(spark, sf):
+    """No row is left out: words that stand in a few of many rows are counted; the model restores like one of whole texts."""
+    texts = [*CORPUS * 5, *["Ein Wolkenbruchsammler zählt früh, der Wolkenbruchsammler zählt spät."] * 3]
+    rows = spark.createDataFrame([("a", str(i), t) for i, t in enumerate(texts)], "origin string, rec_key string, text string")
+    pairs, words = M.corpus_counts(rows.repartition(3))
+    assert dict(words["de"])["Wolkenbruchsammler"] == 6 and (pairs, words) == M.corpus_counts(rows.coalesce(1))
+    assert pairs.items() <= M.by_pair(M.count_pairs(texts)).items()
+    restorer = M.Restorer(M.fit_counts(pairs, words))
+    for t in (DE[0], FR[0], ES[0], RU[0]):
+        for seen in ("cp1252", "cp1251", "cp437"):
+            assert restorer.text(misread(t, "utf-8", seen))[0] == t
