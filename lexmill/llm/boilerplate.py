@@ -42,7 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.mojibake import LANGUAGES, Model, Pairs, Restorer, by_pair, count_pairs, kept_pair
+from lexmill.llm.mojibake import LANGUAGES, Model, Pairs, Restorer, Words, by_pair, by_word, count_pairs, dictionary_words, is_word, kept_pair, word_count_due
+from lexmill.session import materialise
 
 BULLET = r"^\s*(?:[-*•·–‣▪]|\d{1,3}[.)])\s+"
 INNER_END = r"[.!?…][\"”»“’')\]]*\s+[\"“«„¿¡‘'(\[]*[\p{Lu}\p{Lt}\p{Lo}]"
@@ -404,38 +405,46 @@ def first_of_article(lines: list[str], live: list[int], kind: list[int], outside
     return above if above >= 0 and kind[above] == LABEL and above not in outside else evidence
 
 
-def corpus_statistics(pages: DataFrame) -> tuple[Ratios, Pairs]:
-    """Ratios of the path steps, and usual character pairs, over all ``pages`` (title, text).
+def corpus_statistics(pages: DataFrame) -> tuple[Ratios, Pairs, Words]:
+    """Ratios of the path steps, usual character pairs and words of the dictionaries, over all ``pages`` (title, text).
 
     Every line is counted, in each task first. At most ``1 << BITS`` sums and as many pairs
-    as an alphabet allows (see ``corpus_pairs``) reach the driver.
+    as an alphabet allows (see ``corpus_counts``) reach the driver.
     """
     values = [f"v{i}" for i in range(len(SUMS))]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(SUMS), (1 << BITS) + 1), np.int64)
-        counts = count_pairs(())
+        counts, words = count_pairs(()), count_pairs(())
+        names = ["bucket", "pair", *values]
+
+        def counted(rows: Pairs) -> Iterator[pa.RecordBatch]:
+            if rows:
+                spare = [pa.nulls(len(rows), pa.int64())] * (len(SUMS) - len(LANGUAGES))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.array(list(rows)), *(pa.array(c, pa.int64()) for c in zip(*rows.values(), strict=True)), *spare], names=names)
+
         for b in batches:
             texts = b.column("text").to_pylist()
             total += path_sums(Pages(b.column("title").to_pylist(), texts))
-            count_pairs(texts, counts)
+            count_pairs(texts, counts, words)
+            if word_count_due(words):
+                yield from counted(by_word(words))
         used = np.flatnonzero(total[0])
-        names = ["bucket", "pair", *values]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), *(pa.array(t[used]) for t in total)], names=names)
-        pairs = by_pair(counts)
-        if pairs:
-            spare = [pa.nulls(len(pairs), pa.int64())] * (len(SUMS) - len(LANGUAGES))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int32()), pa.array(list(pairs)), *(pa.array(c, pa.int64()) for c in zip(*pairs.values(), strict=True)), *spare], names=names)
+        yield from counted(by_pair(counts))
+        yield from counted(by_word(words))
 
     counted = pages.select("title", "text").mapInArrow(partial, "bucket int, pair string, " + ", ".join(f"{v} bigint" for v in values))
     rows = counted.groupBy("bucket", "pair").agg(*[F.sum(v).alias(v) for v in values])
-    rows = rows.filter(F.col("bucket").isNotNull() | kept_pair(F.col("pair"), sum((F.col(v) for v in values[1 : len(LANGUAGES)]), F.col(values[0]))))
-    t = rows.select("bucket", "pair", *[F.col(v).cast("float").alias(v) for v in values]).toArrow()
+    n = sum((F.col(v) for v in values[1 : len(LANGUAGES)]), F.col(values[0]))
+    rows = materialise(rows.filter(F.col("bucket").isNotNull() | F.when(is_word(F.col("pair")), n > 1).otherwise(kept_pair(F.col("pair"), n))), "statistics")
+    words = dictionary_words(rows.filter(is_word(F.col("pair"))).select("pair", *[F.col(v).alias(k) for v, k in zip(values, LANGUAGES, strict=False)]))
+    t = rows.filter(F.col("bucket").isNotNull() | ~is_word(F.col("pair"))).select("bucket", "pair", *[F.col(v).cast("float").alias(v) for v in values]).toArrow()
     of_paths, of_pairs = t.filter(pc.is_valid(t.column("bucket"))), t.filter(pc.is_valid(t.column("pair")))
     sums = np.zeros((len(SUMS), (1 << BITS) + 1), np.float32)
     sums[:, of_paths.column("bucket").to_numpy()] = [of_paths.column(v).to_numpy() for v in values]
     pairs = zip(of_pairs.column("pair").to_pylist(), *(of_pairs.column(v).to_pylist() for v in values[: len(LANGUAGES)]), strict=True)
-    return Ratios.of(sums), {p: tuple(map(int, n)) for p, *n in pairs}
+    return Ratios.of(sums), {p: tuple(map(int, n)) for p, *n in pairs}, words
 
 
 def corpus_ratios(pages: DataFrame) -> Ratios:
