@@ -1,11 +1,13 @@
 """What retrieval queries exchange: postings and best hits, never every pair of question and document."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 
 import __spark_entry__ as entry
 from lexmill.operators import lexical as L
+from lexmill.session import shared_dir
 
 DOCS = 2000
 WORDS = "alpha beta gamma delta"
@@ -58,6 +60,27 @@ def test_postings_are_not_exchanged(spark, wordy, name):
     assert exchanged(spark, lambda: entry.queries()[name](spark, wordy).write.format("noop").mode("overwrite").save()) < 12 * DOCS
 
 
+def on_disk(spark, run) -> int:
+    """Bytes that ``run`` writes for exchanges and as tables in the shared folder."""
+
+    def written():
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        found = {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(n) for n in range(stages.size()))}
+        return found | {p: p.stat().st_size for p in Path(shared_dir(spark)).rglob("*.parquet") if p.is_file()}
+
+    before = written()
+    run()
+    return sum(n for what, n in written().items() if what not in before)
+
+
+@pytest.mark.parametrize("name", ["hybrid_scores"])
+def test_pairs_are_not_written(spark, common, name):
+    pairs = DOCS * (DOCS // 100)
+    assert on_disk(spark, lambda: entry.queries()[name](spark, common).write.format("noop").mode("overwrite").save()) < 10 * pairs
+
+
 def test_blocks_and_passes_give_the_same_hits(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{'alpha ' * (i % 5)} beta {'gamma' if i % 2 else ''}") for i in range(200)] + [(None, "alpha beta")], "id bigint, text string")
     asked = spark.createDataFrame([(1, "alpha gamma"), (2, "gamma alpha"), (3, "beta"), (4, "beta beta alpha"), (5, "none"), (6, None)], "qid bigint, text string")
