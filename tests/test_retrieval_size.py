@@ -75,7 +75,7 @@ def on_disk(spark, run) -> int:
     return sum(n for what, n in written().items() if what not in before)
 
 
-@pytest.mark.parametrize("name", ["hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["hybrid_scores", "merged_hits", "wiki_first", "fusion_grid", "hybrid_rrf", "index_search"])
 def test_pairs_are_not_written(spark, common, name):
     pairs = DOCS * (DOCS // 100)
     assert on_disk(spark, lambda: entry.queries()[name](spark, common).write.format("noop").mode("overwrite").save()) < 10 * pairs
